@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, packing, quality_rules, simhash, url_filter
-from .shared import table
+from . import fingerprint, langid, mixing, packing, preference, quality_knn, quality_rules, simhash, toxicity, url_filter
+from .shared import held_out, table
 
 #: The rules that op8 judges by.
 URL_RULES = (
@@ -27,11 +27,39 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality_knn.scored(docs, quality_knn.fitted(docs, table(spark, sf_dir, "labels")))
+    score = F.col("quality_score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= quality_knn.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "continues", "sequence_length", "padded_length")
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identified(docs.select("doc_id", "text"), langid.fitted(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_entropy").alias("entropy"), F.col("lang_rejected").alias("rejected"))
+
+
+def op4_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    chosen = turns.withColumnRenamed("conv_id", "pair_id")
+    rejected = preference.stale_replies(turns).withColumnRenamed("conv_id", "pair_id")
+    pairs = preference.preference_pairs(chosen, rejected)
+    return pairs.withColumns({name: preference.spans_text(F.col(name)) for name in ("chosen_mask", "rejected_mask")}).withColumnRenamed("pair_id", "conv_id")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.scored(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+    score = F.col("toxicity")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -70,7 +98,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_knn": op1_quality_knn,
     "op2_packing": op2_packing,
+    "op3_langid": op3_langid,
+    "op4_preference": op4_preference,
+    "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,
