@@ -26,6 +26,7 @@ is a power of two (``padded_length``); only the last window can be short.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -36,55 +37,71 @@ from .shared import staged
 LENGTH = 1024
 END_ID = 0
 #: Chunks whose ids a worker keeps; beyond it the table is emptied.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 600_000
 #: Rows tokenized at once, which bounds the ids held in a worker.
 ROWS_AT_ONCE = 500
 
 _PIECES = "part int, start_in_part bigint, doc_id bigint, doc_tokens bigint, ids binary"
 
 
+#: Fixed value: the pattern by which byte-level BPE splits text before merging.
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters by which byte-level vocabularies write bytes: printable Latin-1 as itself, the rest from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class ChunkTokenizer:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts as little-endian unsigned 32-bit bytes, for a byte-level BPE tokenizer file.
+
+    Chunks are merged by tiktoken from the file's own vocabulary, whose ids are
+    merge ranks; texts with white space beside a space or with the strings of
+    special tokens go through the tokenizer itself.
+    """
 
     def __init__(self, path: str, kept: int = KEPT_CHUNKS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
-        self.led: dict[str, bytes | None] = {}  # chunks after a space; None: the text must be taken whole
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        letters = _byte_letters()
+        ranks = {bytes(letters[c] for c in word): i for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if word not in self.special}
+        self.merged = tiktoken.Encoding("chunks", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.led: dict[str, bytes | None] = {}  # ids of chunks after a space; None: the text must be taken whole
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def _chunk(self, chunk: str, lead: str) -> bytes | None:
+        if any(s in chunk for s in self.special):
+            return None
+        return array("I", self.merged(lead + chunk)).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         led = self.led
         if len(led) > self.kept:
             led.clear()
-        split = [t.split(" ") for t in texts]
-        new = {c for chunks in split for c in chunks[1:]}.difference(led)
-        plain = []
-        for chunk in new:
-            if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-                led[chunk] = None
-            else:
-                plain.append(chunk)
-        led.update(zip(plain, self._encoded([" " + c for c in plain])))
-        firsts = self._encoded([chunks[0] for chunks in split])
         out, whole = [], []
-        for i, (chunks, first) in enumerate(zip(split, firsts)):
-            head = chunks[0]
-            ids = [led[c] for c in chunks[1:]]
-            if len(chunks) > 1 and (not head or head[-1].isspace()) or None in ids:
+        for i, text in enumerate(texts):
+            head, *chunks = text.split(" ")
+            for chunk in {*chunks}.difference(led):
+                led[chunk] = None if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self._chunk(chunk, " ")
+            first = None if chunks and (not head or head[-1].isspace()) else self._chunk(head, "")
+            ids = list(map(led.__getitem__, chunks))
+            if first is None or None in ids:
                 whole.append(i)
                 out.append(b"")
             else:
                 out.append(first + b"".join(ids))
-        for i, ids in zip(whole, self._encoded([texts[i] for i in whole])):
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
             out[i] = ids
         return out
 
