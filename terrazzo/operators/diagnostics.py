@@ -108,6 +108,8 @@ def evidence(df: DataFrame, supports: Sequence[Column], outside: Column, sparse:
 
 
 def outside_range(x: Column, centers: Sequence[float]) -> Column:
+    if not len(centers):
+        return F.lit(False)
     return F.coalesce((x < F.lit(float(min(centers)))) | (x > F.lit(float(max(centers)))), F.lit(False))
 
 

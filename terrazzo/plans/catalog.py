@@ -531,3 +531,160 @@ def bootstrap_interval(spark, sf_dir):
     v = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("term"), (F.col("l_linenumber") % 3).alias("rep")).agg((F.sum("l_tax") / 1000).alias("v"))
     low_high = diagnostics.percentile_intervals(v, ["term"], "v", 0.1)
     return low_high.join(diagnostics.inclusion_frequency(v, "term", "rep", 3), "term").select("term", r(F.col("low")).alias("low"), r(F.col("high")).alias("high"), "frequency")
+
+
+# Models
+
+FEATURES = ("l_extendedprice", "l_discount", "l_quantity", "l_returnflag")
+ROUNDS = {"rounds": 5, "learning_rate": 0.5, "row_share": 1.0, "column_share": 1.0}
+
+
+def modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with a stable key and a target that is a product of two of their columns."""
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *FEATURES, "l_shipdate", (F.expr(TARGET) / 1000).alias("y"))
+    return frames.row_id(df)
+
+
+def regressor(df: DataFrame, **options):
+    from .estimators import ZoneRegressor
+
+    return ZoneRegressor(FEATURES, "y", **{**ROUNDS, "validation": 0.0, **options}).fit(df)
+
+
+@query()
+def regressor_explain(spark, sf_dir):
+    """Flagship: fit by Spark aggregates, then every row with its prediction and exact contributions."""
+    df = modelled(spark, sf_dir)
+    model = regressor(df)
+    return model.predict(model.explain(df)).drop("l_shipdate")
+
+
+@query("select round(var_pop(l_extendedprice*l_discount/1000), 6) target_variance, true fits, true sums from lineitem")
+def regressor_quality(spark, sf_dir):
+    """The model explains most of the target, and contributions sum to the prediction."""
+    df = modelled(spark, sf_dir)
+    model = regressor(df)
+    wide = model.predict(model.explain(df))
+    names = ["baseline", *(scalar.term_name(*t) for t in model.model.term_columns())]
+    total = sum((F.col(f"`{n}`") for n in names[1:]), F.col("baseline"))
+    return wide.agg(r(F.var_pop("y")).alias("target_variance"), (F.avg((F.col("y") - F.col("prediction")) ** 2) < 0.2 * F.var_pop("y")).alias("fits"), (F.max(F.abs(total - F.col("prediction"))) < 1e-9).alias("sums"))
+
+
+@query("select true same, count(*) n from lineitem")
+def scorecard_sql(spark, sf_dir):
+    """The generated SQL, run by Spark over the table, against the model's own columns."""
+    df = modelled(spark, sf_dir)
+    model = regressor(df, rounds=2)
+    df.createOrReplaceTempView("terrazzo_scorecard")
+    text = model.to_sql("terrazzo_scorecard", ["row_id"]).replace('"', "`")
+    both = spark.sql(text).withColumnRenamed("prediction", "p").join(model.predict(df).select("row_id", "prediction"), "row_id")
+    return both.agg((F.max(F.abs(F.col("p") - F.col("prediction"))) < 1e-9).alias("same"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def regressor_interval(spark, sf_dir):
+    df = modelled(spark, sf_dir)
+    model = regressor(df, calibration=0.2, rounds=3, mondrian="l_returnflag")
+    return model.predict_interval(df).select("row_id", "l_returnflag", "y", "prediction", "lower", "upper")
+
+
+@query()
+def regressor_importance(spark, sf_dir):
+    df = modelled(spark, sf_dir)
+    return regressor(df, rounds=3).importance(df)
+
+
+@query()
+def poisson_model(spark, sf_dir):
+    df = frames.row_id(table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag", (F.col("l_discount") * 100).alias("y"), F.log(F.col("l_quantity")).alias("exposure")))
+    from .estimators import ZoneRegressor
+
+    model = ZoneRegressor(["l_tax", "l_returnflag", "l_quantity"], "y", offset="exposure", loss="poisson", **{**ROUNDS, "rounds": 3}, validation=0.0).fit(df)
+    return model.predict(df).select("row_id", "y", "prediction")
+
+
+@query()
+def classifier_binary(spark, sf_dir):
+    from .estimators import ZoneClassifier
+
+    df = modelled(spark, sf_dir).withColumn("label", F.when(F.col("y") > 3, 1).otherwise(0))
+    return ZoneClassifier(FEATURES, "label", **{**ROUNDS, "rounds": 3}).fit(df).predict(df).select("row_id", "label", "p_0", "p_1", "predicted")
+
+
+@query()
+def classifier_softmax(spark, sf_dir):
+    from .estimators import ZoneClassifier
+
+    df = frames.row_id(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus"))
+    found = ZoneClassifier(["o_totalprice", "o_orderpriority"], "o_orderstatus", **{**ROUNDS, "rounds": 2}).fit(df).predict(df)
+    return found.drop("row_id", "o_totalprice")
+
+
+@query()
+def zone_forest(spark, sf_dir):
+    from .estimators import ZoneForest
+
+    df = modelled(spark, sf_dir)
+    return ZoneForest(FEATURES, "y", estimators=4, rounds=5, learning_rate=0.5).fit(df).predict(df).select("row_id", "y", "prediction")
+
+
+@query()
+def bootstrap_stability(spark, sf_dir):
+    from .estimators import BootstrapStability
+
+    df = modelled(spark, sf_dir)
+    fitted = BootstrapStability(FEATURES, "y", estimators=4, rounds=3, learning_rate=0.5).fit(df)
+    frequency, interval = fitted.inclusion(), fitted.importance_interval()
+    return spark.createDataFrame([(t, float(frequency.get(t, 0.0)), float(a), float(b)) for t, (a, b) in interval.items()], "term string, frequency double, low double, high double")
+
+
+@query()
+def survival_model(spark, sf_dir):
+    from .estimators import ZoneSurvival
+
+    df = frames.row_id(gaps(spark, sf_dir).where("value is not null"))
+    model = ZoneSurvival(["value"], "d", "e", intervals=3, **{**ROUNDS, "rounds": 2}, validation=0.0).fit(df)
+    return model.predict_hazard(df, F.lit(24.0))
+
+
+@query()
+def time_series_models(spark, sf_dir):
+    from .estimators import ZoneTimeSeries
+
+    df = frames.row_id(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority", "o_totalprice", (F.col("o_totalprice") * (F.year("o_orderdate") - 1994)).alias("y")))
+    model = ZoneTimeSeries(["o_totalprice", "o_orderpriority"], "y", "o_orderdate", "year", rounds=3, learning_rate=0.5).fit(df)
+    return model.predict(df).select("o_orderkey", "y", "prediction")
+
+
+@query()
+def conformal_quantiles(spark, sf_dir):
+    from .estimators import ConformalQuantiles
+
+    df = modelled(spark, sf_dir)
+    return ConformalQuantiles(FEATURES[:3], "y", validation=0.0, **{**ROUNDS, "rounds": 2}).fit(df).predict_interval(df).select("row_id", "y", "lower", "upper")
+
+
+@query()
+def counterfactual(spark, sf_dir):
+    df = modelled(spark, sf_dir)
+    return regressor(df, rounds=2).counterfactual(df.where("l_linenumber = 1"), "l_discount", 2.5, 50)
+
+
+@query()
+def edit_effect(spark, sf_dir):
+    df = modelled(spark, sf_dir)
+    return regressor(df, rounds=2).edit_report(df, "l_discount", 0.0, 0.02, -1.0)
+
+
+@query()
+def model_comparison(spark, sf_dir):
+    from .estimators import compare_models
+
+    df = modelled(spark, sf_dir)
+    return compare_models(regressor(df.where("year(l_shipdate) < 1998"), rounds=2), regressor(df.where("year(l_shipdate) >= 1998"), rounds=2), df)
+
+
+@query()
+def model_evidence(spark, sf_dir):
+    df = modelled(spark, sf_dir)
+    return regressor(df, rounds=1).reliability(df).select("row_id", "pct_sparse", "extrapolates", "evidence_score", "evidence_quality")
