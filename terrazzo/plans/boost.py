@@ -12,13 +12,14 @@ no row votes for itself.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import losses, scalar
 from ..operators import zones
@@ -193,48 +194,51 @@ class SparkRows:
             n[row["z"], row["_f"]], r[row["z"], row["_f"]] = row["n"], row["r"]
         return {p: tuple(v.reshape(sizes[p[0]], sizes[p[1]], -1) for v in nr) for p, nr in out.items()}
 
-    def _valued(self, round_: Round, fold_tables: dict) -> DataFrame:
-        """Rows with each term's value ``_t<i>``: from the other folds' tables where the row is in the sample, else from the full ones.
-
-        Zones and weights are columns of their own, so that each is computed
-        once; the tables of all folds and the full one are one flat array.
-        """
-        soft, kept = {}, {}
-        for i, (c, z) in enumerate(round_.zonings.items()):
-            own, other, weight = z.soft_columns()
-            soft |= {f"_o{i}": own.cast("int"), f"_n{i}": other.cast("int"), f"_w{i}": weight}
-            kept[c] = (F.col(f"_o{i}"), F.col(f"_n{i}"), F.col(f"_w{i}"), z)
-        rows = self.rows.withColumns({**soft, "_k": F.when(F.col("_in"), F.col("_f")).otherwise(F.lit(self.settings.folds))})
-        values = {}
-        for i, t in enumerate(round_.tables):
-            stacked = np.concatenate([fold_tables[t], round_.tables[t][None]])
-            flat = scalar.array_literal([float(v) for v in stacked.ravel()])
-            base = F.col("_k") * F.lit(int(stacked[0].size))
-            own, other, w, z = kept[t[0]]
-            if len(t) == 1:
-                at = lambda a: F.get(flat, base + a)  # noqa: E731, B023
-                values[f"_t{i}"] = at(own) if z.categories is not None else at(own) + w * (at(other) - at(own))
-                continue
-            own2, other2, w2, z2 = kept[t[1]]
-            at = lambda a, b: F.get(flat, base + a * F.lit(z2.size) + b)  # noqa: E731, B023
-            line = lambda a: at(a, own2) if z2.categories is not None else at(a, own2) + w2 * (at(a, other2) - at(a, own2))  # noqa: E731, B023
-            values[f"_t{i}"] = line(own) if z.categories is not None else line(own) + w * (line(other) - line(own))
-        return rows.withColumns(values)
+    def _kernel(self, round_: Round, fold_tables: dict, tables: dict) -> Callable:
+        """Values [term, row] of an Arrow batch: from the other folds' tables for rows of the sample, else from the full ones."""
+
+        def values(columns: dict) -> np.ndarray:
+            soft = {c: z.soft(columns[c]) for c, z in round_.zonings.items()}
+            inside, folded = columns["_in"], soft | {"_fold": columns["_f"]}
+            return np.stack([np.where(inside, round_.values(t, folded, fold_tables[t]), round_.values(t, soft, tables[t])) for t in tables])
+
+        return values
 
     def gram(self, round_: Round, fold_tables: dict) -> np.ndarray:
-        self.valued = self._valued(round_, fold_tables)
-        names = [F.lit(1.0), *(F.col(f"_t{i}") for i in range(len(round_.tables))), F.col("_r")]
-        k = len(names)
-        row = self.valued.where("_part = 'fit'").agg(*(F.sum(names[i] * names[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k))).first()
-        return np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+        """Moments of [1, terms, residual]. Some hundred sums in one generated method are too long to be compiled, so each
+        partition's moments are one matrix product in an Arrow kernel; the driver adds one small matrix for each partition."""
+        values = self.values = self._kernel(round_, fold_tables, dict(round_.tables))
+
+        def run(batches):
+            import pyarrow as pa
+
+            total = None
+            for batch in batches:
+                columns = _numpy(batch)
+                if batch.num_rows:
+                    z = np.concatenate([np.ones((1, batch.num_rows)), values(columns), columns["_r"][None]])
+                    total = z @ z.T if total is None else total + z @ z.T
+            if total is not None:
+                yield pa.record_batch([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["g"])
+
+        needed = self.rows.where("_part = 'fit'").select(*(F.col(f"`{c}`") for c in round_.zonings), "_in", "_f", "_r")
+        k = len(round_.tables) + 2
+        return sum((np.array(r["g"]).reshape(k, k) for r in needed.mapInArrow(run, "g array<double>").collect()), np.zeros((k, k)))
 
     def step(self, round_: Round, rate: float) -> None:
-        total = F.col("_s") + F.lit(rate * round_.intercept)
-        for i, t in enumerate(round_.tables):
-            if round_.weights[t]:
-                total = total + F.lit(rate * round_.weights[t]) * F.col(f"_t{i}")
-        keep = self.prepared.columns
-        new = self.valued.select(*keep, total.alias("_s")).persist()
+        values, weights, intercept = self.values, np.array([round_.weights[t] for t in round_.tables]), round_.intercept
+        kept = [f for f in self.current.schema if f.name != "_s"]
+        schema = StructType([*kept, StructField("_s", DoubleType())])
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                columns = _numpy(batch)
+                score = columns["_s"] + rate * (intercept + weights @ values(columns))
+                yield pa.record_batch([*(batch.column(f.name) for f in kept), pa.array(score)], names=schema.names)
+
+        new = self.rows.select(*(F.col(f"`{f.name}`") for f in kept), "_s", "_in", "_f").mapInArrow(run, schema).persist()
         before, self.held = self.held, new
         self.current = new
         self.loss_now = {r["_part"]: r["l"] for r in new.groupBy("_part").agg(F.avg(losses.loss_of(self.settings.loss, F.col("_y"), F.col("_s"), self.settings.quantile, self.settings.power)).alias("l")).collect()}
@@ -247,6 +251,14 @@ class SparkRows:
                 df.unpersist()
 
 
+def _numpy(batch) -> dict[str, np.ndarray]:
+    """Columns of an Arrow batch: numbers with NaN for null, text as objects."""
+    out = {}
+    for name, column in zip(batch.schema.names, batch.columns):
+        out[name] = column.to_numpy(zero_copy_only=False)
+    return out
+
+
 class ArrayRows:
     """The same aggregates over arrays, for a fit inside one task."""
 

@@ -49,29 +49,32 @@ class ZoneRegressor:
         self.held = boost.cal_part(df, "cal", self.settings, self.validation, cal, self.key) if cal else None
         return self
 
-    def _terms(self) -> dict[tuple[str, ...], Column]:
-        terms = self.model.term_columns()
+    def _edited(self, terms: dict[tuple[str, ...], Column]) -> dict[tuple[str, ...], Column]:
         for column, low, high, value in self.overrides:
             x = F.col(f"`{column}`")
             terms[(column,)] = F.when(x.between(low, high), F.lit(float(value))).otherwise(terms.get((column,), F.lit(0.0)))
         return terms
 
+    def _base(self) -> Column:
+        return F.lit(self.model.base()) + (F.col(self.offset) if self.offset else F.lit(0.0))
+
     def score(self) -> Column:
-        total = sum(self._terms().values(), F.lit(self.model.base()))
-        return total + F.col(self.offset) if self.offset else total
+        return sum(self._edited(self.model.term_columns()).values(), self._base())
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
-        return df.withColumn(name, boost.link(self.settings, self.score()))
+        rows, terms = self.model.with_terms(df)
+        total = sum(self._edited(terms).values(), self._base())
+        return rows.withColumn(name, boost.link(self.settings, total)).drop("_terms")
 
     def explain(self, df: DataFrame) -> DataFrame:
         """``df`` with ``baseline`` and one column for each term, named by its columns; they sum to the score."""
-        base = F.lit(self.model.base()) + (F.col(self.offset) if self.offset else F.lit(0.0))
-        return df.withColumns({"baseline": base, **{scalar.term_name(*t): c for t, c in self._terms().items()}})
+        rows, terms = self.model.with_terms(df)
+        return rows.withColumns({"baseline": self._base(), **{scalar.term_name(*t): c for t, c in self._edited(terms).items()}}).drop("_terms")
 
     def explain_long(self, df: DataFrame, key: str | None = None) -> DataFrame:
         """key, term, contribution."""
         key, wide = key or self.key, self.explain(df)
-        names = ["baseline", *(scalar.term_name(*t) for t in self._terms())]
+        names = ["baseline", *(scalar.term_name(*t) for t in self._edited(dict.fromkeys(self.model.terms(), F.lit(0.0))))]
         return wide.select(key, F.explode(F.array(*(F.struct(F.lit(n).alias("term"), F.col(f"`{n}`").alias("contribution")) for n in names))).alias("t")).select(key, "t.*")
 
     def importance(self, df: DataFrame) -> DataFrame:
@@ -90,12 +93,13 @@ class ZoneRegressor:
 
     def edit_report(self, df: DataFrame, column: str, low: float, high: float, value: float) -> DataFrame:
         """Rows touched by an edit, and the mean and largest change of the prediction."""
-        before = boost.link(self.settings, self.score())
         edited = ZoneRegressor.__new__(ZoneRegressor)
         edited.__dict__ = self.__dict__ | {"overrides": [*self.overrides, (column, low, high, value)]}
-        change = boost.link(self.settings, edited.score()) - before
+        rows, terms = self.model.with_terms(df)
+        total = lambda model: boost.link(self.settings, sum(model._edited(dict(terms)).values(), self._base()))
+        change = total(edited) - total(self)
         touched = F.col(column).between(low, high)
-        return df.agg(F.count(F.when(touched, 1)).alias("rows_touched"), F.avg(change).alias("mean_change"), F.max(F.abs(change)).alias("max_change"))
+        return rows.agg(F.count(F.when(touched, 1)).alias("rows_touched"), F.avg(change).alias("mean_change"), F.max(F.abs(change)).alias("max_change"))
 
     def margins(self, alpha: float) -> DataFrame:
         if self.held is None:
@@ -128,8 +132,7 @@ class ZoneRegressor:
         others = [c for c in self.features if c != column]
         grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(low) + i * F.lit((high - low) / max(points - 1, 1)))
         tried = df.select(self.key, *others, F.explode(grid).alias(column))
-        gap = F.abs(boost.link(self.settings, self.score()) - F.lit(float(target)))
-        scored = tried.select(self.key, column, gap.alias("gap"))
+        scored = self.predict(tried, "_p").select(self.key, column, F.abs(F.col("_p") - F.lit(float(target))).alias("gap"))
         return scored.groupBy(self.key).agg(F.min(F.struct("gap", column)).alias("best")).select(self.key, F.col(f"best.{column}").alias(column), "best.gap")
 
     def to_sql(self, source: str, keys: Sequence[str] = ()) -> str:
@@ -178,7 +181,9 @@ class ZoneClassifier:
         return self
 
     def probabilities(self) -> dict[object, Column]:
-        scores = [m.score_column() for m in self.models]
+        return self._probabilities([m.score_column() for m in self.models])
+
+    def _probabilities(self, scores: list[Column]) -> dict[object, Column]:
         if len(self.classes) == 2:
             p = scalar.sigmoid(scores[0])
             return {self.classes[0]: 1.0 - p, self.classes[1]: p}
@@ -186,8 +191,11 @@ class ZoneClassifier:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` with ``p_<class>`` for each class and ``predicted``; the first class wins ties."""
-        p = self.probabilities()
-        out = df.withColumns({f"p_{c}": v for c, v in p.items()})
+        rows, scores = df, []
+        for i, m in enumerate(self.models):
+            rows, terms = m.with_terms(rows, f"_terms{i}")
+            scores.append(sum(terms.values(), F.lit(m.base())))
+        out = rows.withColumns({f"p_{c}": v for c, v in self._probabilities(scores).items()}).drop(*(f"_terms{i}" for i in range(len(self.models))))
         best = F.greatest(*(F.col(f"`p_{c}`") for c in self.classes))
         choice = F.lit(self.classes[-1])
         for c in reversed(self.classes[:-1]):
@@ -256,7 +264,11 @@ class ZoneForest:
         return self
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
-        return df.withColumn(name, sum((m.score_column() for m in self.models[1:]), self.models[0].score_column()) / len(self.models))
+        rows, scores = df, []
+        for i, m in enumerate(self.models):
+            rows, terms = m.with_terms(rows, f"_terms{i}")
+            scores.append(sum(terms.values(), F.lit(m.base())))
+        return rows.withColumn(name, sum(scores[1:], scores[0]) / len(self.models)).drop(*(f"_terms{i}" for i in range(len(self.models))))
 
     def explain(self, df: DataFrame) -> DataFrame:
         """Mean of each term over all models, absent ones as zero."""
@@ -322,7 +334,8 @@ class ZoneSurvival:
         """cumulative_hazard and survival of each row at t."""
         starts = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(a)).alias(self.INTERVAL), F.lit(None if b == float("inf") else float(b)).cast("double").alias("end")) for i, (a, b) in enumerate(zip(self.points, self.points[1:])))))
         grid = df.withColumn("_t", t).withColumn("_iv", starts).withColumn(self.INTERVAL, F.col(f"_iv.{self.INTERVAL}"))
-        score = sum(self.model.model.term_columns().values(), F.lit(self.model.model.base()))
+        grid, terms = self.model.model.with_terms(grid)
+        score = sum(terms.values(), F.lit(self.model.model.base()))
         overlap = F.greatest(F.least(F.coalesce(F.col("_iv.end"), F.col("_t")), F.col("_t")) - F.col(self.INTERVAL), F.lit(0.0))
         hazard = grid.select(self.key, (scalar.exp_link(score) * overlap).alias("h")).groupBy(self.key).agg(F.sum("h").alias("cumulative_hazard"))
         return hazard.withColumn("survival", F.exp(-F.col("cumulative_hazard")))

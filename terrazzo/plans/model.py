@@ -13,11 +13,15 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import scalar
 
+#: Pair lookups of a row up to which a model is evaluated in generated code.
+MAX_COLUMN_LOOKUPS = 12
+
 
 @dataclass
 class Zoning:
@@ -133,6 +137,39 @@ class Model:
     def score_column(self) -> Column:
         return sum(self.term_columns().values(), F.lit(self.base()))
 
+    def lookups(self) -> int:
+        """Table lookups of a row that do not consolidate: those of pairs."""
+        return sum(1 for r in self.rounds for t, w in r.weights.items() if w and len(t) > 1)
+
+    def with_terms(self, df: DataFrame, into: str = "_terms") -> tuple[DataFrame, dict[tuple[str, ...], Column]]:
+        """``df`` and each term's contribution as a Column.
+
+        Up to ``MAX_COLUMN_LOOKUPS`` pair lookups these are built-in
+        expressions over ``df`` itself; beyond it generated code would be too
+        long to be compiled, so one Arrow kernel appends an array of all terms.
+        """
+        if self.lookups() <= MAX_COLUMN_LOOKUPS:
+            return df, self.term_columns()
+        terms, model = self.terms(), self
+        needed = list(dict.fromkeys(c for t in terms for c in t))
+        text = {c for r in self.rounds for c, z in r.zonings.items() if z.categories is not None}
+        inputs = [f"_in{i}" for i in range(len(needed))]
+        given = df.withColumns({n: F.col(f"`{c}`").cast("string" if c in text else "double") for n, c in zip(inputs, needed)})
+        schema = StructType([*df.schema, StructField(into, ArrayType(DoubleType()))])
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                frame = {c: batch.column(n).to_numpy(zero_copy_only=False) for n, c in zip(inputs, needed)}
+                found = model.arrays(frame)
+                values = np.stack([np.broadcast_to(found.get(t, 0.0), batch.num_rows) for t in terms], axis=1)
+                flat = pa.array(np.ascontiguousarray(values).ravel())
+                offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(terms))
+                yield pa.record_batch([*(batch.column(f.name) for f in df.schema), pa.ListArray.from_arrays(offsets, flat)], names=schema.names)
+
+        return given.mapInArrow(run, schema), {t: F.get(F.col(into), F.lit(i)) for i, t in enumerate(terms)}
+
     def arrays(self, frame: dict[str, np.ndarray]) -> dict[tuple[str, ...], np.ndarray]:
         out = {}
         for r in self.rounds:
