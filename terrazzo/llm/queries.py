@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, mixing, packing, preference, quality_knn, quality_rules, simhash, toxicity, url_filter
+from . import fingerprint, langid, mixing, oracles, packing, preference, quality_knn, quality_rules, simhash, toxicity, url_filter
 from .shared import held_out, table
 
 #: The rules that op8 judges by.
@@ -66,7 +66,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).withColumn("failed_rules", F.array_join("failed_rules", ","))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,4 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_preference": oracles.preference_pairs(),
+    "op7_quality_rules": oracles.quality(),
+    "op8_url_filter": oracles.url_filter(URL_RULES, LISTED_HOST_LABELS),
+    "op10_mixing": oracles.mixing_copies(),
+}
