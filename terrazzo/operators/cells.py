@@ -124,13 +124,13 @@ def zone_trimmed_mean(df: DataFrame, zone: str, y: str, trim: float) -> DataFram
     Works on one row for each distinct value of a zone with its count, so ties
     are never ordered one by one.
     """
-    values = df.where(F.col(y).isNotNull()).groupBy(zone, F.col(y).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy(zone).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = values.withColumn("end", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy(zone)))
-    k = F.floor(F.col("n") * trim)
-    k = F.when(2 * k >= F.col("n"), F.lit(0)).otherwise(k)
-    kept = F.greatest(F.lit(0), F.least(F.col("end"), F.col("n") - k) - F.greatest(F.col("end") - F.col("c"), k))
-    return placed.withColumn("kept", kept).groupBy(zone).agg((F.sum(F.col("kept") * F.col("v")) / F.sum("kept")).alias("value"))
+    values = df.where(F.col(y).isNotNull()).groupBy(zone, F.col(y).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy(zone).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = values.withColumn("_end", F.sum("_c").over(order)).withColumn("_n", F.sum("_c").over(Window.partitionBy(zone)))
+    k = F.floor(F.col("_n") * trim)
+    k = F.when(2 * k >= F.col("_n"), F.lit(0)).otherwise(k)
+    kept = F.greatest(F.lit(0), F.least(F.col("_end"), F.col("_n") - k) - F.greatest(F.col("_end") - F.col("_c"), k))
+    return placed.withColumn("_kept", kept).groupBy(zone).agg((F.sum(F.col("_kept") * F.col("_v")) / F.sum("_kept")).alias("value"))
 
 
 def out_of_fold(df: DataFrame, zone: str, y: str, fold: str, m: float = FALLBACK_M) -> DataFrame:

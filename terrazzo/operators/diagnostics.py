@@ -14,12 +14,12 @@ def order_statistic(df: DataFrame, score: str, alpha: float, groups: Sequence[st
     Found on one row for each distinct score with its count, so ties and hot
     groups move little.
     """
-    values = df.where(F.col(score).isNotNull()).groupBy(*groups, F.col(score).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    values = df.where(F.col(score).isNotNull()).groupBy(*groups, F.col(score).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     by = list(groups) or [F.lit(0)]
-    order = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = values.withColumn("end", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    k = F.least(F.ceil((F.col("n") + 1) * F.lit(1.0 - alpha) - 1e-9), F.col("n"))
-    return placed.where((F.col("end") >= k) & (F.col("end") - F.col("c") < k)).select(*groups, "n", F.col("v").alias("margin"))
+    order = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = values.withColumn("_end", F.sum("_c").over(order)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    k = F.least(F.ceil((F.col("_n") + 1) * F.lit(1.0 - alpha) - 1e-9), F.col("_n"))
+    return placed.where((F.col("_end") >= k) & (F.col("_end") - F.col("_c") < k)).select(*groups, F.col("_n").alias("n"), F.col("_v").alias("margin"))
 
 
 def mondrian_margins(df: DataFrame, score: str, group: str, alpha: float, least: int) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from ..functions import scalar
 
 #: Pair lookups of a row up to which a model is evaluated in generated code.
-MAX_COLUMN_LOOKUPS = 12
+MAX_COLUMN_LOOKUPS = 2
 
 
 @dataclass
@@ -57,11 +57,14 @@ class Zoning:
         return own, other, weight
 
     def soft_columns(self) -> tuple[Column, Column, Column]:
+        """Lower zone, upper zone and the upper one's weight: the same line as `soft`, from one coordinate between the centers."""
         x = F.col(f"`{self.column}`")
         if self.categories is not None:
             own = scalar.category_index(x, self.categories)
             return own, own, F.lit(0.0)
-        return scalar.soft_weights(x.cast("double"), self.centers, self.cuts)
+        place = scalar.interpolated(x.cast("double"), self.centers, [float(i) for i in range(self.real)], float(self.real))
+        low = place.cast("int")
+        return low, F.least(low + 1, F.lit(self.size - 1)), place - low
 
 
 @dataclass
@@ -156,6 +159,7 @@ class Model:
         inputs = [f"_in{i}" for i in range(len(needed))]
         given = df.withColumns({n: F.col(f"`{c}`").cast("string" if c in text else "double") for n, c in zip(inputs, needed)})
         schema = StructType([*df.schema, StructField(into, ArrayType(DoubleType()))])
+        kept = df.columns
 
         def run(batches):
             import pyarrow as pa
@@ -166,7 +170,7 @@ class Model:
                 values = np.stack([np.broadcast_to(found.get(t, 0.0), batch.num_rows) for t in terms], axis=1)
                 flat = pa.array(np.ascontiguousarray(values).ravel())
                 offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(terms))
-                yield pa.record_batch([*(batch.column(f.name) for f in df.schema), pa.ListArray.from_arrays(offsets, flat)], names=schema.names)
+                yield pa.record_batch([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(offsets, flat)], names=[*kept, into])
 
         return given.mapInArrow(run, schema), {t: F.get(F.col(into), F.lit(i)) for i, t in enumerate(terms)}
 
