@@ -556,7 +556,7 @@ def regressor_explain(spark, sf_dir):
     """Flagship: fit by Spark aggregates, then every row with its prediction and exact contributions."""
     df = modelled(spark, sf_dir)
     model = regressor(df)
-    return model.explain(model.predict(df)).drop("l_shipdate")
+    return model.explain(model.predict(df), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "row_id", "y", "prediction"])
 
 
 @query("select round(var_pop(l_extendedprice*l_discount/1000), 6) target_variance, true fits, true sums from lineitem")
@@ -564,7 +564,7 @@ def regressor_quality(spark, sf_dir):
     """The model explains most of the target, and contributions sum to the prediction."""
     df = modelled(spark, sf_dir)
     model = regressor(df)
-    wide = model.explain(model.predict(df))
+    wide = model.explain(model.predict(df), ["y", "prediction"])
     names = ["baseline", *(scalar.term_name(*t) for t in model.model.term_columns())]
     total = sum((F.col(f"`{n}`") for n in names[1:]), F.col("baseline"))
     return wide.agg(r(F.var_pop("y")).alias("target_variance"), (F.avg((F.col("y") - F.col("prediction")) ** 2) < 0.2 * F.var_pop("y")).alias("fits"), (F.max(F.abs(total - F.col("prediction"))) < 1e-9).alias("sums"))

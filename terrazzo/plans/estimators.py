@@ -66,14 +66,16 @@ class ZoneRegressor:
         total = sum(self._edited(terms).values(), self._base())
         return rows.withColumn(name, boost.link(self.settings, total)).drop("_terms")
 
-    def explain(self, df: DataFrame) -> DataFrame:
-        """``df`` with ``baseline`` and one column for each term, named by its columns; they sum to the score."""
+    def explain(self, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+        """The key (or the columns ``keep``), ``baseline`` and one column for each term, named by its columns; they sum to the score."""
         rows, terms = self.model.with_terms(df)
-        return rows.withColumns({"baseline": self._base(), **{scalar.term_name(*t): c for t, c in self._edited(terms).items()}}).drop("_terms")
+        named = {"baseline": self._base(), **{scalar.term_name(*t): c for t, c in self._edited(terms).items()}}
+        return rows.select(*(F.col(f"`{c}`") for c in keep or [self.key]), *(c.alias(n) for n, c in named.items()))
 
     def explain_long(self, df: DataFrame, key: str | None = None) -> DataFrame:
         """key, term, contribution."""
-        key, wide = key or self.key, self.explain(df)
+        key = key or self.key
+        wide = self.explain(df, [key])
         names = ["baseline", *(scalar.term_name(*t) for t in self._edited(dict.fromkeys(self.model.terms(), F.lit(0.0))))]
         return wide.select(key, F.explode(F.array(*(F.struct(F.lit(n).alias("term"), F.col(f"`{n}`").alias("contribution")) for n in names))).alias("t")).select(key, "t.*")
 
@@ -270,14 +272,15 @@ class ZoneForest:
             scores.append(sum(terms.values(), F.lit(m.base())))
         return rows.withColumn(name, sum(scores[1:], scores[0]) / len(self.models)).drop(*(f"_terms{i}" for i in range(len(self.models))))
 
-    def explain(self, df: DataFrame) -> DataFrame:
-        """Mean of each term over all models, absent ones as zero."""
+    def explain(self, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+        """The key (or ``keep``) and the mean of each term over all models, absent ones as zero."""
         parts: dict[tuple[str, ...], list[Column]] = {}
         for m in self.models:
             for t, c in m.term_columns().items():
                 parts.setdefault(tuple(sorted(t)), []).append(c)
         base = float(np.mean([m.base() for m in self.models]))
-        return df.withColumns({"baseline": F.lit(base), **{scalar.term_name(*t): sum(c[1:], c[0]) / len(self.models) for t, c in parts.items()}})
+        named = {"baseline": F.lit(base), **{scalar.term_name(*t): sum(c[1:], c[0]) / len(self.models) for t, c in parts.items()}}
+        return df.select(*(F.col(f"`{c}`") for c in keep or [self.key]), *(c.alias(n) for n, c in named.items()))
 
 
 class BootstrapStability(ZoneForest):

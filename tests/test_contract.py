@@ -46,6 +46,6 @@ def test_entry_runs(spark):
 def test_the_rest_works_without_the_subpackage(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run(["cp", "-r", f"{root}/terrazzo", f"{root}/__spark_entry__.py", str(tmp_path)], check=True)
-    subprocess.run(["rm", "-r", f"{tmp_path}/terrazzo/llm"], check=True)
+    subprocess.run(["rm", "-rf", f"{tmp_path}/terrazzo/llm"], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)

@@ -34,7 +34,7 @@ def fitted(table):
 
 
 def test_explanations_sum_to_predictions(table, fitted):
-    out = fitted.explain(fitted.predict(table).select("row_id", "y", "prediction", F.col("a"), F.col("b"), F.col("c"))).toPandas()
+    out = fitted.explain(fitted.predict(table), ["row_id", "y", "prediction"]).toPandas()
     terms = ["baseline", *(scalar.term_name(*t) for t in fitted.model.terms())]
     assert np.abs(out[terms].sum(axis=1) - out["prediction"]).max() < 1e-9
     assert ((out["prediction"] - out["y"]) ** 2).mean() < 0.3 * out["y"].var()
@@ -132,7 +132,7 @@ def test_classifiers(table):
 
 def test_ensembles(table):
     forest = ZoneForest(["a", "b", "c"], "y", estimators=3, rounds=4, **FAST).fit(table)
-    wide = forest.explain(forest.predict(table).select("row_id", "prediction", "a", "b", "c")).toPandas()
+    wide = forest.explain(forest.predict(table), ["row_id", "prediction"]).toPandas()
     names = [c for c in wide.columns if c not in ("row_id", "prediction")]
     assert np.abs(wide[names].sum(axis=1) - wide["prediction"]).max() < 1e-9
     stable = BootstrapStability(["a", "b", "c"], "y", estimators=3, rounds=2, **FAST).fit(table)
