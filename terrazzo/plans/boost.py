@@ -134,6 +134,10 @@ class SparkRows:
             low += share
         columns = {c: F.col(f"`{c}`").cast("double") for c in schema.continuous} | {c: F.col(f"`{c}`").cast("string") for c in schema.categorical}
         base = df.select(F.col(key).alias("_id"), F.col(y).cast("double").alias("_y"), (F.col(offset).cast("double") if offset else F.lit(0.0)).alias("_o"), kind.alias("_part"), *(e.alias(c) for c, e in columns.items())).where(F.col("_y").isNotNull())
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if base.rdd.getNumPartitions() < 2 * cores:  # few input splits would leave cores idle in every round
+            base = base.repartition(2 * cores, "_id")
+        base = base.persist()
         self.edges = {c: zones.bin_edges(base, c, settings.bins) for c in schema.continuous}
         for c in schema.continuous:
             if self.edges[c] is None:  # few values: cut between each two
@@ -141,7 +145,7 @@ class SparkRows:
                 self.edges[c] = [(a + b) / 2 for a, b in zip(values, values[1:])]
         self.categories = {c: zones.categories(base, c) for c in schema.categorical}
         codes = {f"_b_{c}": scalar.zone_index(F.col(c), self.edges[c]) for c in schema.continuous} | {f"_b_{c}": scalar.category_index(F.col(c), self.categories[c]) for c in schema.categorical}
-        self.prepared = base.withColumns(codes).persist()
+        self.base, self.prepared = base, base.withColumns(codes).persist()
         self.current = self.prepared.withColumn("_s", F.col("_o"))
         self.held = None
 
@@ -246,7 +250,7 @@ class SparkRows:
             before.unpersist()
 
     def close(self) -> None:
-        for df in (self.held, self.prepared):
+        for df in (self.held, self.prepared, self.base):
             if df is not None:
                 df.unpersist()
 
