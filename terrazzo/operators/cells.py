@@ -163,3 +163,23 @@ def boundary_lambda(df: DataFrame, y: str, hard: Column, soft: Column, m: float,
     sums = df.agg(F.sum((target - hard) ** 2).alias("h"), F.sum((target - soft) ** 2).alias("s"), F.sum(F.when(moved, 1.0).otherwise(0.0)).alias("n"))
     raw = F.when(F.col("s") <= F.col("h"), 1.0).otherwise(0.0)
     return sums.select(((F.col("n") * raw + m) / (F.col("n") + m)).alias("lam"))
+
+
+def fit_spline(df: DataFrame, x: str, y: str, knots: Sequence[float], m: float = 1.0) -> tuple[float, float, list[float]]:
+    """Intercept, slope and one bend for each knot by ridge on the hinge basis; each term's penalty is m times its own mean square, the intercept has none.
+
+    Rows give their moments in one aggregate; the driver solves a system of knots + 2.
+    """
+    import numpy as np
+
+    size = len(knots) + 2
+    gram, right = np.zeros((size, size)), np.zeros(size)
+    for r in spline_moments(df, x, y, knots).collect():  # (knots + 2)^2 numbers at most
+        if r["j"] < 0:
+            right[r["i"]] = r["mean"] or 0.0
+        else:
+            gram[r["i"], r["j"]] = gram[r["j"], r["i"]] = r["mean"] or 0.0
+    rows = max(df.where(F.col(x).isNotNull()).count(), 1)
+    ridge = np.diag(np.r_[0.0, m / rows * np.diag(gram)[1:]])
+    solved = np.linalg.pinv(gram + ridge) @ right
+    return float(solved[0]), float(solved[1]), [float(v) for v in solved[2:]]

@@ -536,7 +536,7 @@ def bootstrap_interval(spark, sf_dir):
 # Models
 
 FEATURES = ("l_extendedprice", "l_discount", "l_quantity", "l_returnflag")
-ROUNDS = {"rounds": 5, "learning_rate": 0.5, "row_share": 1.0, "column_share": 1.0}
+ROUNDS = {"rounds": 3, "learning_rate": 0.5, "row_share": 1.0, "column_share": 1.0}
 
 
 def modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -563,7 +563,7 @@ def regressor_explain(spark, sf_dir):
 def regressor_quality(spark, sf_dir):
     """The model explains most of the target, and contributions sum to the prediction."""
     df = modelled(spark, sf_dir)
-    model = regressor(df)
+    model = regressor(df, rounds=5)
     wide = model.explain(model.predict(df), ["y", "prediction"])
     names = ["baseline", *(scalar.term_name(*t) for t in model.model.term_columns())]
     total = sum((F.col(f"`{n}`") for n in names[1:]), F.col("baseline"))
@@ -688,3 +688,16 @@ def model_comparison(spark, sf_dir):
 def model_evidence(spark, sf_dir):
     df = modelled(spark, sf_dir)
     return regressor(df, rounds=1).reliability(df).select("row_id", "pct_sparse", "extrapolates", "evidence_score", "evidence_quality")
+
+
+@query()
+def spline_effect(spark, sf_dir):
+    """Hinge-basis ridge of the discount amount on the discount."""
+    intercept, slope, bends = cells.fit_spline(lineitem(spark, sf_dir), "l_discount", "y", (0.03, 0.07))
+    return spark.createDataFrame([(intercept, slope, *bends)], "intercept double, slope double, bend_low double, bend_high double")
+
+
+@query()
+def evidence_card(spark, sf_dir):
+    df = modelled(spark, sf_dir)
+    return spark.createDataFrame([(regressor(df, rounds=1).card(df),)], "card string")

@@ -178,3 +178,9 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert abs(frames.bootstrap(df, 3).count() / 6000 - 1) < 0.1
     with pytest.raises(ValueError):
         frames.split(df, {"val": 0.6, "cal": 0.4})
+
+
+def test_splines_find_a_kink(spark):
+    df = spark.range(2000).select(((F.col("id") - 1000) / 100.0).alias("x")).withColumn("y", F.when(F.col("x") < 0, -2 * F.col("x")).otherwise(3 * F.col("x")))
+    intercept, slope, bends = cells.fit_spline(df, "x", "y", [0.0])
+    assert (intercept, slope, bends[0]) == pytest.approx((0.0, -2.0, 5.0), abs=0.1)
