@@ -152,7 +152,8 @@ def fit(sample: list[tuple[int, str]], share: float | None = None, seed: int = 1
     share = float(labels.mean()) if share is None and len(labels) else (share or 0.0)
     if len(labels) == 0 or labels.all() or not labels.any():
         return ToxicityModel(b"", b"", {}, np.zeros(0), share)
-    found = [windows(text) for _, text in sample]
+    once: dict[str, str] = {}  # equal windows are one object
+    found = [[once.setdefault(w, w) for w in windows(text)] for _, text in sample]
     seen = {True: Counter(), False: Counter()}
     for label, own in zip(labels, found):
         seen[bool(label)].update({w[:k] for w in {*own} for k in range(5, WINDOW + 2) if len(w) >= k})
@@ -160,14 +161,16 @@ def fit(sample: list[tuple[int, str]], share: float | None = None, seed: int = 1
     least = max(2.0, 0.005 * toxic)
     contrast = {h for h, n in seen[True].items() if n >= least and n / toxic >= CONTRAST * (seen[False][h] + 0.5) / ordinary}
     marked = [stretched(w) for label, own in zip(labels, found) if label for w in own if any(w[:k] in contrast for k in range(5, WINDOW + 2))]
-    plain = [w for label, own in zip(labels, found) if not label for w in own]
-    rng = random.Random(seed)
-    plain = [stretched(w) for w in rng.sample(plain, min(40_000, len(plain)))]
+    ordinary_texts, rng = [own for label, own in zip(labels, found) if not label], random.Random(seed)
+    ends = np.cumsum([len(own) for own in ordinary_texts])
+    places = sorted(rng.sample(range(int(ends[-1])), min(40_000, int(ends[-1]))))
+    plain = [stretched(ordinary_texts[i][place - int(ends[i]) + len(ordinary_texts[i])]) for i, place in zip(np.searchsorted(ends, places, side="right").tolist(), places)]
     model = ToxicityModel(_dictionary(ORDINARY_BYTES, plain), _dictionary(TOXIC_BYTES, marked), {}, np.zeros(0), share)
     lengths, kept = Lengths(model.ordinary, model.toxic), {}
     for window in {w for own in found for w in own}:
         kept[window] = lengths.of(window)
     codes = [np.array([kept[w] for w in own], dtype=np.int64) for own in found]
+    seen.clear()
     counts = {kind: Counter() for kind in (True, False)}
     for label, own in zip(labels, codes):
         counts[bool(label)].update(own.tolist())
