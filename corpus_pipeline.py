@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrazzo.llm import langid, mixing, packing, quality_knn, simhash
+from terrazzo.llm import langid, mixing, near_copies, packing, quality_knn
 from terrazzo.llm.queries import tokenizer_path
 from terrazzo.llm.shared import shared_folder, table
 
@@ -35,8 +35,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id."""
-    return _documents(simhash.deduplicated(_documents(docs), size=SHINGLE))
+    """One document of each group of near-duplicates (resemblance 0.8 or more): the one with the least id."""
+    return _documents(near_copies.deduplicated(_documents(docs), size=SHINGLE))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from terrazzo.llm import components, fingerprint, langid, mixing, packing, preference, quality_knn, quality_rules, simhash, toxicity, url_filter
+from terrazzo.llm import components, fingerprint, langid, mixing, near_copies, packing, preference, quality_knn, quality_rules, simhash, toxicity, url_filter
 from terrazzo.llm.queries import URL_RULES
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -465,3 +465,44 @@ def test_toxicity(spark):
     assert toxicity.scored(empty(spark), toxicity.fitted(empty(spark), labels)).count() == 0
     one = toxicity.fit([(0, "a b c")] * 3)
     assert one.scorer()("anything") == 0.0
+
+
+def test_near_copies_at_their_resemblance(spark):
+    rng, size = random.Random(11), 5
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows, wanted = [], {}
+    for k in range(60):
+        n = rng.choice([100, 300, 900])
+        base, least = [word() for _ in range(n)], (0.8, 0.85, 0.9, 0.6)[k % 4]
+        copy, i = list(base), 0
+        while True:  # scattered edits until the next would fall below
+            tried = list(copy)
+            tried[rng.randrange(n)] = word()
+            a, b = ({tuple(t[j : j + size]) for j in range(n - size + 1)} for t in (base, tried))
+            if len(a & b) / len(a | b) < least:
+                break
+            copy = tried
+        a, b = ({tuple(t[j : j + size]) for j in range(n - size + 1)} for t in (base, copy))
+        wanted[2 * k + 1] = len(a & b) / len(a | b) >= 0.8
+        rows += [(2 * k, " ".join(base), "aa", "s", 1), (2 * k + 1, " ".join(copy).upper(), "aa", "s", 1)]
+    assert 40 <= sum(wanted.values()) <= 45
+    rows += [(500, "one two", None, None, 1), (501, "One  two", None, None, 1), (None, rows[0][1], "aa", "s", 1), (502, None, None, None, None), (503, " ", None, None, 1)]
+    rows += [(600, rows[4][1], "aa", "s", 1), (600, rows[6][1] + " end", "aa", "s", 1)]  # one id, two texts
+    kept = [r["doc_id"] for r in near_copies.deduplicated(spark.createDataFrame(rows, DOCS).repartition(5)).collect()]
+    gone = {i for i, near in wanted.items() if near} | {501, 503, 600}
+    assert sorted(i for i in kept if i is not None) == sorted({r[0] for r in rows} - gone - {None}) and kept.count(None) == 1
+
+
+def test_pipeline_stage_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    base = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    rows = [(0, " ".join(base), "aa", "s", 1)]
+    for k, edits in enumerate((3, 4, 6), 1):  # resemblance about 0.9, 0.87 and 0.82
+        copy = list(base)
+        for at in range(20, 20 + 40 * edits, 40):
+            copy[at] = f"edit{k}"
+        rows.append((k, " ".join(copy), "aa", "s", 1))
+    docs = spark.createDataFrame(rows, DOCS)
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()] == [0]
