@@ -1,13 +1,14 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model of order ``ORDER`` for each language, fitted on a bounded sample of
-texts (`FIT_ROWS` texts and `FIT_CHARACTERS` characters for each of at most
-`MAX_LANGUAGES` languages). The models share one store: the n-grams of all
-languages and orders as sorted 64-bit hashes, beside them for each language
-the interpolated log-probability of the n-gram's last character and the
-back-off weight of the n-gram as a context. At most ``ORDER *
-MAX_LANGUAGES * FIT_CHARACTERS`` entries, whatever the corpus; that bounds
-what is broadcast.
+texts (`FIT_ROWS` texts and `FIT_CHARACTERS` characters for each language).
+Every value of lang is learned, in blocks of `BLOCK` languages by name. The
+models of a block share one store: the n-grams of all its languages and orders
+as sorted 64-bit hashes, beside them for each language the interpolated
+log-probability of the n-gram's last character and the back-off weight of the
+n-gram as a context. At most ``ORDER * BLOCK * FIT_CHARACTERS`` entries; a
+worker holds one block at a time and keeps each text's best over the blocks,
+so memory is bounded whatever the number of languages.
 
 A text is scored whole: the language with the least cross-entropy for each
 character wins. A text is rejected when it has no letter or when its
@@ -27,13 +28,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .sampling import grouped_texts
+from .sampling import group_counts, grouped_texts
 
 ORDER = 4
-MAX_LANGUAGES = 64
+#: Languages that are fitted, broadcast and held at once.
+BLOCK = 64
 FIT_ROWS = 400
 ASIDE_ROWS = 100
 FIT_CHARACTERS = 1_000_000
@@ -171,21 +174,43 @@ class CharModels:
         sums[filled] /= counts[filled, None]
         return sums, counts
 
-    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Language, score (share of the best language's likelihood over at most 50 characters), cross-entropy and whether rejected."""
-        if not self.languages:
-            none = np.zeros(len(texts))
-            return [UNKNOWN] * len(texts), none, none, none == 0
-        entropy, n = self.entropies(texts)
+
+class Verdict:
+    """The best language of each text over the blocks that were added, in the order of names."""
+
+    def __init__(self, texts: int):
+        self.lang = [UNKNOWN] * texts
+        self.n = np.zeros(texts, dtype=np.int64)
+        self.least = np.full(texts, np.inf)
+        self.total = np.zeros(texts)  # likelihoods over at most 50 characters, relative to the best
+        self.far = np.zeros(texts, dtype=bool)
+
+    def add(self, models: CharModels, texts: list[str], at: int = 0) -> None:
+        """Compares the texts from place ``at`` on with the languages of ``models``."""
+        own = slice(at, at + len(texts))
+        entropy, n = models.entropies(texts)
         best = entropy.argmin(axis=1)
         least = entropy[np.arange(len(texts)), best]
-        odds = np.exp(-(entropy - least[:, None]) * np.minimum(n, 50)[:, None])
-        score = np.where(n > 0, 1.0 / odds.sum(axis=1), 0.0)
-        rejected = n == 0
-        if len(self.limits):
-            mean, by_character, between = self.limits[best].T
-            rejected |= (least - mean) / np.sqrt(by_character**2 / np.maximum(n, 1) + between**2) > self.margins[best]
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, n)], score, least, rejected
+        length, before = np.minimum(n, 50), self.least[own]
+        better = least < before
+        now = np.where(better, least, before)
+        kept = np.zeros(len(texts))
+        old = np.isfinite(before)
+        kept[old] = self.total[own][old] * np.exp(-(before - now)[old] * length[old])
+        self.total[own] = kept + np.exp(-(entropy - now[:, None]) * length[:, None]).sum(axis=1)
+        self.n[own], self.least[own] = n, now
+        far = np.zeros(len(texts), dtype=bool)
+        if len(models.limits):
+            mean, by_character, between = models.limits[best].T
+            far = (least - mean) / np.sqrt(by_character**2 / np.maximum(n, 1) + between**2) > models.margins[best]
+        self.far[own] = np.where(better, far, self.far[own])
+        for i in np.nonzero(better & (n > 0))[0].tolist():
+            self.lang[at + i] = models.languages[best[i]]
+
+    def columns(self) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score (share of the best language's likelihood over at most 50 characters), cross-entropy and whether rejected."""
+        score = np.where(self.n > 0, 1.0 / np.where(self.total > 0, self.total, 1.0), 0.0)
+        return self.lang, score, np.where(self.n > 0, self.least, 0.0), (self.n == 0) | self.far
 
 
 def _counts(texts: list[str], order: int, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,11 +308,17 @@ def fit(texts: dict[str, list[str]], order: int = ORDER, aside: dict[str, list[s
     return models
 
 
-def fitted(docs: DataFrame, order: int = ORDER) -> CharModels:
-    """Models from the labelled texts of ``docs`` (doc_id, text, lang) outside the held-out fold."""
-    texts = grouped_texts(docs, "lang", MAX_LANGUAGES, FIT_ROWS + ASIDE_ROWS, LONGEST, FIT_CHARACTERS)
-    cut = {lang: max(1, len(own) * FIT_ROWS // (FIT_ROWS + ASIDE_ROWS)) for lang, own in texts.items()}
-    return fit({lang: own[: cut[lang]] for lang, own in texts.items()}, order, {lang: own[cut[lang] :] for lang, own in texts.items()})
+def fitted(docs: DataFrame, order: int = ORDER, block: int = BLOCK) -> list[Broadcast]:
+    """Broadcast models, in blocks of languages, from the labelled texts of ``docs`` (doc_id, text, lang) outside the held-out fold."""
+    counts, blocks = group_counts(docs, "lang"), []
+    for start in range(0, len(counts), block):
+        some = dict([*counts.items()][start : start + block])
+        texts = grouped_texts(docs, "lang", some, FIT_ROWS + ASIDE_ROWS, LONGEST, FIT_CHARACTERS)
+        cut = {lang: max(1, len(own) * FIT_ROWS // (FIT_ROWS + ASIDE_ROWS)) for lang, own in texts.items()}
+        models = fit({lang: own[: cut[lang]] for lang, own in texts.items()}, order, {lang: own[cut[lang] :] for lang, own in texts.items()})
+        if models.languages:
+            blocks.append(docs.sparkSession.sparkContext.broadcast(models))
+    return blocks
 
 
 def chunks(texts: list[str], characters: int = CHARACTERS_AT_ONCE) -> Iterator[tuple[int, int]]:
@@ -302,9 +333,8 @@ def chunks(texts: list[str], characters: int = CHARACTERS_AT_ONCE) -> Iterator[t
         yield start, len(texts)
 
 
-def identified(docs: DataFrame, models: CharModels) -> DataFrame:
-    """All columns of ``docs`` but its own ``lang_*``, with lang_pred, lang_score, lang_entropy and lang_rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def identified(docs: DataFrame, blocks: list[Broadcast]) -> DataFrame:
+    """All columns of ``docs`` but its own ``lang_*``, with lang_pred, lang_score, lang_entropy and lang_rejected; ``blocks``: from `fitted`."""
     docs = docs.drop("lang_pred", "lang_score", "lang_entropy", "lang_rejected")
     at = docs.columns.index("text")
     schema = StructType([*docs.schema]).add("lang_pred", "string").add("lang_score", "double").add("lang_entropy", "double").add("lang_rejected", "boolean")
@@ -314,9 +344,15 @@ def identified(docs: DataFrame, models: CharModels) -> DataFrame:
 
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            for start, end in chunks(texts):
-                lang, score, entropy, rejected = shared.value.judge(texts[start:end])
-                rows = batch.slice(start, end - start)
-                yield pa.record_batch([*rows.columns, pa.array(lang), pa.array(score), pa.array(entropy), pa.array(rejected)], names=schema.names)
+            verdict = Verdict(len(texts))
+            for shared in blocks:
+                models = shared.value
+                for start, end in chunks(texts):
+                    verdict.add(models, texts[start:end], start)
+                if len(blocks) > 1:  # one block in memory; the next batch reads it again from the worker's disk
+                    del models
+                    shared.__dict__.pop("_value", None)
+            lang, score, entropy, rejected = verdict.columns()
+            yield pa.record_batch([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)], names=schema.names)
 
     return docs.mapInArrow(run, schema)

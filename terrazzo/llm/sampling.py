@@ -45,15 +45,24 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: dict[in
     return out
 
 
-def grouped_texts(docs: DataFrame, group: str, groups: int, rows: int, longest: int, characters: int) -> dict[str, list[str]]:
-    """Whole texts of documents outside the held-out fold for each of the ``groups`` most frequent values of ``group``, in hash order.
+def _grouped(docs: DataFrame, group: str) -> DataFrame:
+    return docs.select("doc_id", "text", F.col(group).alias("_group")).where(F.col("_group").isNotNull()).where(~held_out(F.col("doc_id")))
+
+
+def group_counts(docs: DataFrame, group: str) -> dict[str, int]:
+    """Documents outside the held-out fold for each value of ``group``, by value."""
+    known = _grouped(docs.select("doc_id", F.lit(None).alias("text"), group), group)
+    return dict(sorted((r["_group"], r["count"]) for r in known.groupBy("_group").count().collect()))  # one number for each value
+
+
+def grouped_texts(docs: DataFrame, group: str, counts: dict[str, int], rows: int, longest: int, characters: int) -> dict[str, list[str]]:
+    """Whole texts of documents outside the held-out fold for each value of ``group`` in ``counts`` (`group_counts`), in hash order.
 
     At most ``rows`` texts and ``characters`` characters for each group.
     """
-    known = docs.select("doc_id", "text", F.col(group).alias("_group")).where(F.col("_group").isNotNull()).where(~held_out(F.col("doc_id")))
-    counts = {r["_group"]: r["count"] for r in known.groupBy("_group").count().orderBy(F.desc("count"), "_group").limit(groups).collect()}
     if not counts:
         return {}
+    known = _grouped(docs, group).where(F.col("_group").isin(*counts))
     share = F.lit(0.0)
     for value, n in counts.items():
         share = F.when(F.col("_group") == value, F.lit(min(1.0, 1.5 * rows / n))).otherwise(share)

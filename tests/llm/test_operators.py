@@ -506,3 +506,19 @@ def test_pipeline_stage_drops_edited_copies(spark):
         rows.append((k, " ".join(copy), "aa", "s", 1))
     docs = spark.createDataFrame(rows, DOCS)
     assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()] == [0]
+
+
+def test_langid_learns_every_language_in_blocks(spark):
+    rng, rows, letters = random.Random(2), [], "abcdefghijklmnopqrstuvwxyz"
+    for k in range(70):  # more than a block; the last by name are the rarest
+        own = random.Random(k).sample(letters, 5)
+        for i in range(14 - k // 10):
+            rows.append((1000 * k + i, " ".join("".join(rng.choices(own, k=rng.randint(2, 7))) for _ in range(60)), f"l{k:02}", "s", 1))
+    df = spark.createDataFrame([*rows, (9, None, None, None, None)], DOCS).repartition(4)
+    out = {}
+    for block in (64, 16, 100):
+        models = langid.fitted(df, block=block)
+        assert len(models) == -(-70 // block)
+        out[block] = {r["doc_id"]: (r["lang_pred"], round(r["lang_score"], 9), round(r["lang_entropy"], 5), r["lang_rejected"]) for r in langid.identified(df.drop("lang"), models).collect()}
+    assert out[64] == out[100] == out[16]
+    assert {r[2] for r in rows} == {v[0] for i, v in out[64].items() if i != 9} and sum(out[64][r[0]][0] == r[2] for r in rows) > 0.95 * len(rows)
