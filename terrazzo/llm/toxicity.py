@@ -1,10 +1,12 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on toxic and one on ordinary
-windows, and each window of a text is compressed with either. A window starts
-at each word and holds the word's boundary and first ``WINDOW`` letters, each
-letter ``STRETCH`` times, so that a phrase of a dictionary is long against
-zstandard's fixed costs. Toxic documents consist mostly of ordinary windows;
+windows, and each window of a text is compressed with either. A word of up to
+``WINDOW`` letters is one window with its boundaries; over a longer run of
+letters (compounds, scripts without spaces) a window slides by one letter to
+the run's end, so each letter is seen wherever a phrase starts. No window spans
+two words. Each letter is written ``STRETCH`` times, so that a phrase of a
+dictionary is long against zstandard's fixed costs. Toxic documents consist mostly of ordinary windows;
 the toxic dictionary is therefore trained on those windows of toxic documents
 with a beginning that is at least ``CONTRAST`` times as frequent in toxic as in
 ordinary documents.
@@ -58,8 +60,14 @@ _EDGE = "\x01"
 
 
 def windows(text: str) -> list[str]:
-    """The boundary and first letters of each word, and the last boundary of words that fit whole."""
-    return [(_EDGE + w + _EDGE)[: WINDOW + 1] for w in _WORD.findall(text.lower())]
+    """The boundary and letters of each word and the last boundary where it fits; of a longer run all windows up to its last boundary."""
+    found = []
+    for w in _WORD.findall(text.lower()):
+        edged = _EDGE + w + _EDGE
+        found.append(edged[: WINDOW + 1])
+        if len(w) > WINDOW:
+            found += [edged[i : i + WINDOW + 1] for i in range(1, len(edged) - WINDOW)]
+    return found
 
 
 def stretched(window: str) -> bytes:

@@ -522,3 +522,24 @@ def test_langid_learns_every_language_in_blocks(spark):
         out[block] = {r["doc_id"]: (r["lang_pred"], round(r["lang_score"], 9), round(r["lang_entropy"], 5), r["lang_rejected"]) for r in langid.identified(df.drop("lang"), models).collect()}
     assert out[64] == out[100] == out[16]
     assert {r[2] for r in rows} == {v[0] for i, v in out[64].items() if i != 9} and sum(out[64][r[0]][0] == r[2] for r in rows) > 0.95 * len(rows)
+
+
+def test_toxicity_sees_the_whole_run_of_letters():
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghijklm", k=rng.randint(3, 8))) for _ in range(300)]
+    signs = [chr(0x4E00 + k) for k in range(400)]
+
+    def compound(toxic):  # its first twelve letters say nothing
+        return " ".join([*rng.choices(vocabulary, k=40), "gemeinsamvor" + ("zyxwvuts" if toxic else "nopqrabc"), *rng.choices(vocabulary, k=20)])
+
+    def unspaced(toxic):
+        run = rng.choices(signs, k=120)
+        for at in (30, 60, 90) if toxic else ():
+            run[at + rng.randint(0, 15) : at + 16] = "\u6076\u6bd2\u8a00\u8bed\u8f31\u9a82\u4eba"
+        return "".join(run)
+
+    for text in (compound, unspaced):
+        score = toxicity.fit([(k % 3 == 0, text(k % 3 == 0)) for k in range(300)]).scorer()
+        right = [(score(text(toxic)) >= toxicity.THRESHOLD) == toxic for toxic in (True, False) for _ in range(50)]
+        assert sum(right) >= 95
+    assert all(any("z" in w for w in toxicity.windows(s)) for s in ("a" * 9 + "z", "a" * 40 + "z", "a" * 20 + "z" + "a" * 20))
