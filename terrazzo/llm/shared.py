@@ -21,14 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset, as
-    in tests on one machine, a temporary folder takes its place.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset, a
+    temporary folder takes its place if all executors run on this machine
+    (``local`` masters), else this raises: a cluster's executors would each
+    write to a disk of their own.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = context.getCheckpointDir()
         if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="terrazzo-")
             context.setCheckpointDir(folder)
     elif not context.getCheckpointDir():
@@ -51,19 +55,36 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/terrazzo-staged/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        remove(spark, path)
     except Exception:  # noqa: BLE001  the session has already ended
         pass
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder when the Python process ends."""
+    atexit.register(_remove, spark, path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until ``df`` has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null or blank: an empty array."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(WORD_SEPARATORS))

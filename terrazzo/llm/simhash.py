@@ -10,6 +10,9 @@ from which, clockwise, the first l segments together differ in at most
   under the chain from each start, and looked up under each chain value within
   that budget. A lookup that flips a bit is made only by the side that has the
   bit set, so each start meets each pair once;
+* with many fingerprints the chains that are looked up have three segments
+  (``LONG_CHAIN_FROM``): what meets by chance falls from N * N / 2^25 to
+  N * N / 2^38 a lookup. Either finds the same links;
 * a meeting pair must keep the budgets of three and four segments before the
   full Hamming distance is taken. All this is the join's condition, so pairs
   that fail are never rows.
@@ -34,12 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import checkpointed
+from .shared import checkpointed, unused
 
 BITS = 64
 DISTANCE = 4
 SEGMENTS = 5
 CHAIN = 2
+#: Fingerprints from which a chain of three segments (38 bits, but twenty times the lookups) is cheaper than one of two.
+LONG_CHAIN_FROM = 1 << 29
 SIZE = 4
 SEED = 42
 
@@ -139,7 +144,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SIZE,
     """doc_id, fp and component_id (the least doc_id reachable over links) of each row of ``docs`` (doc_id, text)."""
     marked = checkpointed(fingerprints(docs, size, seed))
     nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = checkpointed(links(nodes, Ring(distance)).distinct())
+    chain = CHAIN if nodes.count() < LONG_CHAIN_FROM else CHAIN + 1
+    found = checkpointed(links(nodes, Ring(distance, max(SEGMENTS, distance + 1), chain)).distinct())
     # Components of fingerprints, then the least doc_id of each.
     grouped = components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("fp"), F.col("component").alias("_c"))
     classed = checkpointed(nodes.join(grouped, "fp", "left").withColumn("_c", F.coalesce("_c", "fp")))
@@ -149,8 +155,9 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SIZE,
 
 def deduplicated(docs: DataFrame, distance: int = DISTANCE, size: int = SIZE, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` but for those whose component has a lesser doc_id; rows with a null doc_id all stay, and rows with equal ids stay or go together."""
-    gone = near_duplicates(docs, distance, size, seed).where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.expr("doc_id = _gone"), "left_anti")
+    gone = unused(docs, "_gone")
+    ids = near_duplicates(docs, distance, size, seed).where("doc_id > component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(ids, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def as_hex(fp: Column) -> Column:
