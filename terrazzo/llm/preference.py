@@ -74,9 +74,15 @@ def spans_text(spans: Column) -> Column:
 
 
 def stale_replies(turns: DataFrame) -> DataFrame:
-    """A rejected side for conversations (conv_id, turn, role, text): the last assistant turn says what the first one said, or nothing if there is one only."""
+    """A rejected side for conversations (conv_id, turn, role, text): the last assistant turn says what the first one said, or nothing if there is one only.
+
+    Of assistant turns with the same least number the least text is the first;
+    all with the greatest number are the last. Null text is empty. Turns with a
+    null conv_id are left out before anything moves.
+    """
+    turns = turns.where("conv_id is not null").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     reply = F.col("role") == LEARNED_ROLE
-    first_last = turns.where(reply).groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_text"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+    first_last = turns.where(reply & F.col("turn").isNotNull()).groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("first"), F.max("turn").alias("last_turn"))
     joined = turns.join(first_last, "conv_id", "left")
-    stale = F.when(F.col("first_turn") < F.col("last_turn"), F.col("first_text")).otherwise(F.lit(""))
+    stale = F.when(F.col("first.turn") < F.col("last_turn"), F.col("first.text")).otherwise(F.lit(""))
     return joined.select("conv_id", "turn", "role", F.when(reply & (F.col("turn") == F.col("last_turn")), stale).otherwise(F.col("text")).alias("text"))
