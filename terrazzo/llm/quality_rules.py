@@ -1,14 +1,21 @@
 """Quality rules whose thresholds come from quantile sketches of the data itself.
 
-Every document gets a few counts. For each (lang, source) a KLL sketch of each
+Every document gets a few counts. For each (lang, source) a sketch of each
 derived ratio gives quartiles; a document fails a rule when its ratio lies
 above ``q75 + fence * max(q75 - q25, least spread)`` of its own group. Groups
-with too few documents use the merged sketch of their language, and languages
-with too few the merged sketch of everything: sketches merge, so no text is
-read again for that.
+with fewer than ``MIN_GROUP`` documents use the merged sketch of their
+language, and languages with fewer the merged sketch of everything: sketches
+merge, so no text is read again for that.
 
-The main path has DataFrame functions only. One document is one row at all
-times (no explode), so no document, source or passage can gather in a task.
+A sketch counts values in bins of equal relative width (``GAMMA``), zero in a
+bin of its own; a quantile is the upper bound of the bin that holds it. Counts
+add, so sketches merge exactly: thresholds and verdicts are the same whatever
+the partitions, the order of rows or tasks that ran twice. A quantile's rank is
+exact, its value at most ``GAMMA - 1`` (1 %) too great.
+
+The main path has DataFrame functions only. One document is one row while its
+text is read; only its four bins are exploded, and counted before they move, so
+no document, source or passage can gather in a task.
 
 Cases: null or blank text has no words and fails the base rule; null lang or
 source is a group of its own; repeated rows are judged each for itself; an
@@ -17,7 +24,9 @@ empty table gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import checkpointed, fits_broadcast, words_of
@@ -29,7 +38,10 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 FENCE = 3.0
-SKETCH_K = 2048
+#: Ratio of a bin's bounds.
+GAMMA = 1.01
+#: Bin of zero, below the bins of all positive ratios.
+ZERO_BIN = -100_000
 MIN_GROUP = 200
 MAX_BROADCAST_GROUPS = 200_000
 
@@ -72,26 +84,44 @@ def _ratios(counts: DataFrame) -> DataFrame:
     })
 
 
-def sketches(ratios: DataFrame, k: int = SKETCH_K) -> DataFrame:
-    """One row for each (lang, source): its count and a mergeable sketch of each ratio."""
-    return ratios.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(name, k).alias(name) for name in LEAST_SPREAD))
+def bin_of(value: Column) -> Column:
+    """Number of the bin (GAMMA^(i-1), GAMMA^i] that holds a positive value."""
+    return F.when(value > 0, F.ceil(F.log(value) / math.log(GAMMA))).otherwise(F.lit(ZERO_BIN)).cast("int")
+
+
+def upper_bound(number: Column) -> Column:
+    return F.when(number == ZERO_BIN, F.lit(0.0)).otherwise(F.exp(number * F.lit(math.log(GAMMA))))
+
+
+def sketches(ratios: DataFrame) -> DataFrame:
+    """lang, source, ratio, bin and n: how many documents of each group have a ratio in each bin."""
+    bins = F.array(*(F.struct(F.lit(name).alias("ratio"), bin_of(F.col(name)).alias("bin")) for name in LEAST_SPREAD))
+    return ratios.select("lang", "source", F.explode(bins).alias("b")).groupBy("lang", "source", "b.ratio", "b.bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, total and q25 and q75 of each ratio as columns ``q25_<ratio>``; bins of different sketches merge by adding."""
+    merged = sketch.groupBy(*keys, "ratio", "bin").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy(*keys, "ratio")  # as many rows as there are bins: some thousands at most
+    ranked = merged.withColumns({"upto": F.sum("n").over(own.orderBy("bin")), "total": F.sum("n").over(own)})
+    at = lambda q, name: upper_bound(F.min(F.when((F.col("ratio") == name) & (F.col("upto") >= F.ceil(F.col("total") * q)), F.col("bin")))).alias(f"q{int(q * 100)}_{name}")
+    return ranked.groupBy(*keys).agg(F.max("total").alias("total"), *(at(q, name) for name in LEAST_SPREAD for q in (0.25, 0.75)))
 
 
-def _fences(merged: DataFrame, level: str, fence: float) -> DataFrame:
+def _fences(sketch: DataFrame, keys: list[str], level: str, fence: float) -> DataFrame:
     def upper(name):
-        low, high = (F.kll_sketch_get_quantile_double(name, F.lit(q)) for q in (0.25, 0.75))
+        low, high = F.col(f"q25_{name}"), F.col(f"q75_{name}")
         return high + fence * F.greatest(high - low, F.lit(LEAST_SPREAD[name]))
 
-    return merged.withColumn(f"by_{level}", F.struct(*(upper(name).alias(name) for name in LEAST_SPREAD))).withColumnRenamed("n", f"n_{level}").drop(*LEAST_SPREAD)
+    return quartiles(sketch, keys).select(*keys, F.col("total").alias(f"n_{level}"), F.struct(*(upper(name).alias(name) for name in LEAST_SPREAD)).alias(f"by_{level}"))
 
 
 def thresholds(ratios: DataFrame, fence: float = FENCE, min_group: int = MIN_GROUP) -> DataFrame:
     """lang, source, level (whose sketch is used) and the upper limit of each ratio."""
     parts = checkpointed(sketches(ratios))
-    merge = lambda keys: parts.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(name).alias(name) for name in LEAST_SPREAD))
-    by_lang = _fences(merge(["lang"]), "lang", fence)
-    everything = _fences(merge([]), "all", fence)
-    joined = _fences(parts, "source", fence).alias("p").join(by_lang.withColumnRenamed("lang", "same_lang").alias("q"), F.expr("p.lang <=> q.same_lang")).crossJoin(F.broadcast(everything))  # one row
+    by_lang = _fences(parts, ["lang"], "lang", fence).withColumnRenamed("lang", "same_lang")
+    everything = _fences(parts, [], "all", fence)
+    joined = _fences(parts, ["lang", "source"], "source", fence).join(by_lang, F.expr("lang <=> same_lang")).crossJoin(F.broadcast(everything))  # one row
     level = F.when(F.col("n_source") >= min_group, "source").when(F.col("n_lang") >= min_group, "lang").otherwise("all")
     chosen = F.when(level == "source", F.col("by_source")).when(level == "lang", F.col("by_lang")).otherwise(F.col("by_all"))
     return joined.select("lang", "source", level.alias("level"), chosen.alias("most")).select("lang", "source", "level", *(F.col(f"most.{name}").alias(f"max_{name}") for name in LEAST_SPREAD))
