@@ -17,8 +17,10 @@ URL_RULES = (
     url_filter.Rule("block", "example.com", "/de/"),
     url_filter.Rule("allow", "org", "/fr/"),
 )
-#: op8 lists the canonical URLs of pages on hosts with one of these labels.
-LISTED_HOST_LABELS = ("ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+#: op8's list stands for one that others have collected: the canonical URLs of every ``LISTED_FOLDS``-th page on hosts with
+#: one of these labels. A host says nothing by itself: other URLs of the same hosts are not listed.
+LISTED_HOST_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_FOLDS = 2
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -72,7 +74,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = F.split(url_filter.host_of(F.col("url")), r"\.")
-    listed = url_filter.listed_urls(pages.where(F.arrays_overlap(labels, F.array(*map(F.lit, LISTED_HOST_LABELS)))))
+    listed = url_filter.listed_urls(pages.where(F.arrays_overlap(labels, F.array(*map(F.lit, LISTED_HOST_LABELS))) & (F.col("page_id") % LISTED_FOLDS == 0)))
     return url_filter.url_verdicts(pages, listed, URL_RULES)
 
 
@@ -113,6 +115,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_preference": oracles.preference_pairs(),
     "op7_quality_rules": oracles.quality(),
-    "op8_url_filter": oracles.url_filter(URL_RULES, LISTED_HOST_LABELS),
+    "op8_url_filter": oracles.url_filter(URL_RULES, LISTED_HOST_LABELS, LISTED_FOLDS),
     "op10_mixing": oracles.mixing_copies(),
 }

@@ -3,18 +3,22 @@
 A page that no rule fits is judged by a list of URLs. The canonical listed URLs
 fill a blocked Bloom filter: one hash picks a block of eight 64-bit words, six
 bits of a second hash pick one bit in each word. The filter is a table of
-blocks (block, w0..w7), at most ``MAX_BLOCKS`` rows or 19 MB, so it can always
-be broadcast; a longer list only passes more false hits. Possible hits go on to
-an exact hash join with the list, which removes the false ones. Only hits move.
+blocks (block, w0..w7), at most ``MAX_BLOCKS`` rows or 151 MB (44 million URLs
+at full width), so it can always be broadcast; a longer list only passes more
+false hits. Possible hits go on to an exact hash join with the list, which
+removes the false ones: the join's key is null for all other pages, and a
+null key meets nothing.
 
 Everything is DataFrame functions: filling is a ``bit_or`` aggregation that
 combines before the shuffle, probing is a broadcast join on the block.
 
 Cases: null or malformed URLs (no ``://``) have an empty host and path, fit no
 rule, are listed nowhere and are allowed; repeated pages are judged each for
-itself; an empty list or table works; other columns are ignored, and a hot URL
-in the exact join is split by adaptive execution, since the listed side is
-distinct.
+itself; an empty list or table works; other columns are ignored. The list is
+written once and read from there. Up to ``MAX_BROADCAST_URLS`` listed URLs the
+exact join is a broadcast hash join, so pages do not move; beyond it adaptive
+execution splits a hot URL, since the listed side is distinct, and pages that
+are no hit get a random key, since a null one would gather them in one task.
 """
 
 from __future__ import annotations
@@ -25,7 +29,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BLOCKS = 1 << 18
+from .shared import checkpointed
+
+MAX_BLOCKS = 1 << 21
+#: Listed URLs that are broadcast for the exact join.
+MAX_BROADCAST_URLS = 1_000_000
 BITS_PER_URL = 24
 WORDS = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -95,15 +103,20 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = ()
     url = F.col("url")
     seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canonical"))
     seen = seen.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    blocks = min(MAX_BLOCKS, max(1, -(-listed.count() * BITS_PER_URL // (64 * WORDS))))
+    listed = checkpointed(listed.select("canonical"))
+    known = listed.count()
+    blocks = min(MAX_BLOCKS, max(1, -(-known * BITS_PER_URL // (64 * WORDS))))
     bloom = F.broadcast(bloom_blocks(listed, blocks))  # MAX_BLOCKS rows at most
     probed = seen.withColumn("_block", F.when(F.col("_rule").isNull(), F.pmod(F.xxhash64("canonical"), F.lit(blocks))))
     probed = probed.join(bloom, F.expr("_block = block and canonical is not null"), "left")
     passes = F.col("block").isNotNull()
     for j, bit in enumerate(_bits(F.col("canonical"))):
         passes = passes & (F.col(f"w{j}").bitwiseAND(bit) != 0)
-    probed = probed.select("page_id", "host", "path", "canonical", "_rule", F.coalesce(passes, F.lit(False)).alias("_hit"))
-    hits = probed.where("_hit").join(listed.select(F.col("canonical").alias("_listed")), F.expr("canonical = _listed"), "left").withColumn("listed", F.col("_listed").isNotNull()).drop("_listed")
-    rest = probed.where("not _hit").withColumn("listed", F.lit(False))
+    if known <= MAX_BROADCAST_URLS:
+        exact, miss = F.broadcast(listed.select(F.col("canonical").alias("_listed"))), F.lit(None).cast("string")
+    else:  # a NUL is in no canonical URL
+        exact, miss = listed.select(F.col("canonical").alias("_listed")), F.concat(F.lit("\0"), F.xxhash64("page_id", "canonical").cast("string"))
+    probed = probed.select("page_id", "host", "path", "canonical", "_rule", F.when(F.coalesce(passes, F.lit(False)), F.col("canonical")).otherwise(miss).alias("_hit"))
+    joined = probed.join(exact, F.expr("_hit = _listed"), "left").withColumn("listed", F.col("_listed").isNotNull())
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("listed"), "block").otherwise("allow"))
-    return hits.unionByName(rest).select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "canonical", "listed")
+    return joined.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "canonical", "listed")
