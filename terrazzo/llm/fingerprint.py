@@ -9,31 +9,37 @@ shingles. DataFrame functions only.
 Shingles have five words; a text with fewer words is one shingle of all its
 words; one without words has an empty sketch. Two empty sketches resemble each
 other fully (1.0), an empty and a filled one not at all (0.0). Null text is
-empty text. Repeated rows get equal sketches.
+empty text. Repeated rows get equal sketches. Each word is hashed once; a
+shingle's hash combines those of its words. Other columns travel along, but
+those named like the result's own (``into``, ``next_*``) are replaced.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import words_of
+from .shared import checkpointed, unused, words_of
 
 SHINGLE = 5
 K = 128
 #: Rows in each range of `with_next`; ranges bound what one task sorts.
 ROWS_PER_RANGE = 4000
 MAX_RANGES = 100_000
+#: Rows that one row with a number of equals becomes at once.
+COPIES_AT_ONCE = 1000
 
 
-def shingle_hashes(words: Column, size: int = SHINGLE) -> Column:
-    """Distinct hashes of the word shingles, in no order. ``words`` must be a plain column."""
-    many = F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), " ")))
-    few = F.when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
-    return F.array_distinct(F.when(F.size(words) >= size, many).otherwise(few))
+def shingle_hashes(codes: Column, size: int = SHINGLE) -> Column:
+    """Distinct hashes of the word shingles, in no order, from the words' hashes. ``codes`` must be a plain column."""
+    many = F.transform(F.sequence(F.lit(1), F.size(codes) - (size - 1)), lambda i: F.xxhash64(F.slice(codes, i, size)))
+    few = F.when(F.size(codes) > 0, F.array(F.xxhash64(codes))).otherwise(F.array().cast("array<bigint>"))
+    return F.array_distinct(F.when(F.size(codes) >= size, many).otherwise(few))
 
 
 def bottom_k(hashes: Column, k: int = K) -> Column:
@@ -71,8 +77,9 @@ def encode(sketch: Column) -> Column:
 
 def sketched(docs: DataFrame, text: str = "text", into: str = "sketch", size: int = SHINGLE, k: int = K) -> DataFrame:
     """``docs`` with a column ``into`` that sketches its column ``text``."""
-    words = f"_{into}_words"
-    return docs.withColumn(words, words_of(F.col(text))).withColumn(into, bottom_k(shingle_hashes(F.col(words), size), k)).drop(words)
+    codes = unused(docs, f"_{into}_codes")
+    hashed = docs.withColumn(codes, F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w)))
+    return hashed.withColumn(into, bottom_k(shingle_hashes(F.col(codes), size), k)).drop(codes)
 
 
 def corpus_sketch(sketches: DataFrame, by: list[str], column: str = "sketch", k: int = K) -> DataFrame:
@@ -89,34 +96,64 @@ def corpus_sketch(sketches: DataFrame, by: list[str], column: str = "sketch", k:
     return kept.groupBy(*by).agg(F.sort_array(F.collect_list("_h")).alias(column))  # k at most
 
 
-def with_next(docs: DataFrame, columns: list[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """``docs`` (unique doc_id) with ``next_<column>`` of the next row in descending doc_id order, the first after the last.
+def with_next(docs: DataFrame, columns: list[str], rows_per_range: int = ROWS_PER_RANGE, text: str = "text") -> DataFrame:
+    """``docs`` with ``next_<column>`` of the next row in descending doc_id order, the first after the last.
 
-    Ids are cut into ranges at quantiles; each range is sorted by itself, and
-    the highest row of each range is given to the range above it too, where it
-    follows the lowest row. So texts move once and no task sees all rows. The
-    driver holds two numbers for each range, ``MAX_RANGES`` at most. Null ids
-    come last. Of rows with equal ids the greater text comes first.
+    Null ids come last. Of rows with equal ids the one whose ``text`` has the
+    greater hash comes first, then the greater text; rows with equal id and text
+    follow one another.
+
+    Rows are dealt into ranges of this order, as many partitions as ranges.
+    Each is sorted by itself, and the first row of each range is given to the
+    range before it too, where it follows the last row. So texts move once and
+    no task sees all rows. An id of more than ``rows_per_range`` rows (null too)
+    has ranges of its own, cut by the text's hash; its fully equal rows, which
+    are one another's next, are one row there and copied afterwards. So such an
+    id or text may hold any share of the rows. The driver holds some numbers
+    for each range, ``2 * MAX_RANGES`` at most.
     """
+    docs = docs.drop(*(f"next_{c}" for c in columns))
+    own, spark = docs.columns, docs.sparkSession
+    hash_, range_, extra, n, block = (unused(docs, c) for c in ("_hash", "_range", "_extra", "_n", "_block"))
     seen = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids")).first()
-    ranges = max(1, min(MAX_RANGES, seen["n"] // rows_per_range))
-    cuts: list[int] = []
+    rows = max(rows_per_range, -(-seen["n"] // MAX_RANGES))
+    ranges = max(1, seen["n"] // rows)
+    hot = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows).collect() if ranges > 1 else []  # seen / rows of them at most
+    cuts = {i for r in hot if (i := r["doc_id"]) is not None} | {i + 1 for r in hot if (i := r["doc_id"]) is not None and i + 1 < 1 << 63}
     if seen["ids"] and ranges > 1:
-        shares = [i / ranges for i in range(1, ranges)]
-        cuts = sorted(set(docs.select(F.percentile_approx("doc_id", shares, 20 * ranges).alias("q")).first()["q"]))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(1 + _cuts_up_to(F.col("doc_id"), cuts))
-    tops = dict(docs.groupBy(bucket.alias("b")).agg(F.max("doc_id")).collect())  # two numbers for each range
-    filled = sorted(tops)
-    above = dict(zip(filled, [*filled[1:], *filled[:1]]))
-    top_of = _literal([tops.get(b) for b in range(len(cuts) + 2)], "array<bigint>")
-    home_of = _literal([above.get(b) for b in range(len(cuts) + 2)], "array<bigint>")
-    placed = docs.withColumn("_b", bucket.cast("bigint"))
-    is_top = F.col("doc_id").eqNullSafe(F.get(top_of, F.col("_b").cast("int")))
-    place = lambda b, extra: F.struct(b.alias("b"), F.lit(extra).alias("extra"))
-    own, other = place(F.col("_b"), False), place(F.get(home_of, F.col("_b").cast("int")), True)
-    dealt = placed.withColumn("_home", F.explode(F.when(is_top, F.array(own, other)).otherwise(F.array(own)))).select(*docs.columns, F.col("_home.b").alias("_b"), F.col("_home.extra").alias("_extra"))
-    within = Window.partitionBy("_b").orderBy("_extra", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
-    return dealt.select("*", *(F.lead(c).over(within).alias(f"next_{c}") for c in columns)).where(~F.col("_extra")).drop("_b", "_extra")
+        cuts |= {*docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("q")).first()["q"]}
+    ordered = sorted(cuts)
+    parts = [1] * (len(ordered) + 2)  # ranges of null ids and between any two cuts
+    for r in hot:
+        parts[0 if r["doc_id"] is None else 1 + bisect_right(ordered, r["doc_id"])] = -(-r["n"] // rows)
+    first = [0, *accumulate(parts)]
+    between = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(1 + _cuts_up_to(F.col("doc_id"), ordered))
+    number = F.xxhash64(text)
+    within = F.get(_literal(parts, "array<int>"), between)
+    share = F.least(within - 1, F.floor((number / float(1 << 64) + 0.5) * within).cast("int"))
+    placed = docs.withColumns({hash_: number, range_: F.get(_literal(first, "array<int>"), between) + share, n: F.lit(1).cast("bigint")})
+    copies = None
+    if hot:
+        many = within > 1
+        gathered = checkpointed(placed.where(many).groupBy(*(F.col(f"`{c}`") for c in own), hash_, range_).agg(F.sum(n).alias(n)))
+        placed = placed.where(~many).unionByName(gathered)
+        blocks = gathered.where(F.col(n) > 1).withColumn(block, F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(n) - 2) / COPIES_AT_ONCE))))
+        blocks = blocks.repartition(F.xxhash64(*own, block)).withColumn(block, F.least(F.lit(COPIES_AT_ONCE).cast("bigint"), F.col(n) - 1 - F.col(block) * COPIES_AT_ONCE))
+        copies = blocks.withColumn(block, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(block)))).select(*(F.col(f"`{c}`") for c in own), *(F.col(f"`{c}`").alias(f"next_{c}") for c in columns))
+    tops = placed.groupBy(F.col(range_).alias("r")).agg(F.max(F.struct("doc_id", hash_)).alias("t")).select("r", "t.*").collect()  # one for each range
+    tops.sort(key=lambda t: t["r"])
+    above = [t["r"] for t in tops][1:] + [t["r"] for t in tops][:1]
+    leading = spark.createDataFrame([(t["r"], t[1], t[2], a) for t, a in zip(tops, above)], "_top_range int, _top_id bigint, _top_hash bigint, _top_home int")
+    leading = leading.toDF(*(unused(placed, c) for c in leading.columns))
+    top_range, top_id, top_hash, top_home = (F.col(c) for c in leading.columns)
+    is_top = F.col("doc_id").eqNullSafe(top_id) & (F.col(hash_) == top_hash)
+    deal = lambda at, is_extra: F.struct(at.alias("at"), F.lit(is_extra).alias("extra"))
+    joined = placed.join(F.broadcast(leading), F.col(range_) == top_range, "left")
+    dealt = joined.withColumn(block, F.explode(F.when(is_top, F.array(deal(F.col(range_), False), deal(top_home, True))).otherwise(F.array(deal(F.col(range_), False)))))
+    dealt = dealt.select(*(F.col(f"`{c}`") for c in own), hash_, F.col(f"{block}.at").alias(range_), F.col(f"{block}.extra").alias(extra)).repartition(max(1, len(tops)), range_)
+    order = Window.partitionBy(range_).orderBy(extra, F.desc_nulls_last("doc_id"), F.desc(hash_), F.desc_nulls_last(text))
+    found = dealt.select("*", *(F.lead(F.col(f"`{c}`")).over(order).alias(f"next_{c}") for c in columns)).where(~F.col(extra)).drop(hash_, range_, extra)
+    return found if copies is None else found.unionByName(copies)
 
 
 def _literal(values: list, kind: str) -> Column:
