@@ -96,6 +96,28 @@ def test_quality_thresholds_follow_the_group(spark):
     assert not got[1000] and all(got[i] for i in range(300)) and all(got[2000 + i] for i in range(300))
 
 
+def test_quality_thresholds_do_not_depend_on_partitions(spark):
+    """Over 100,000 rows a group, in any order and partitioning: equal limits, each within a bin of the exact quantile."""
+    ratios = spark.range(120_000).select(F.lit("en").alias("lang"), F.lit("s").alias("source"), *(((F.xxhash64("id", F.lit(k)) % 1_000_003).cast("double") / 1_000_003 + 1.0).alias(name) for k, name in enumerate(quality_rules.LEAST_SPREAD)))
+    found = [quality_rules.thresholds(df).first().asDict() for df in (ratios, ratios.repartition(7), ratios.orderBy(F.desc("id")).coalesce(2))]
+    assert found[0] == found[1] == found[2]
+    for name, spread in quality_rules.LEAST_SPREAD.items():
+        values = np.sort([r[0] for r in ratios.select(name).collect()])
+        low, high = (values[math.ceil(q * len(values)) - 1] for q in (0.25, 0.75))
+        within = lambda x: {math.exp(math.log(quality_rules.GAMMA) * math.ceil(math.log(x) / math.log(quality_rules.GAMMA)))}
+        (a,), (b,) = within(low), within(high)
+        assert 1 <= a / low < quality_rules.GAMMA and 1 <= b / high < quality_rules.GAMMA
+        assert found[0][f"max_{name}"] == pytest.approx(b + quality_rules.FENCE * max(b - a, spread))
+
+
+def test_quality_verdicts_repeat(spark):
+    """Groups of over 2,048 rows, twice each row; verdicts are equal whatever the partitions."""
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(24)), lambda i: F.concat(F.substring(F.md5(F.concat("id", i).cast("binary")), 1, 6), F.when(F.pmod(F.xxhash64("id", i), F.lit(40)) < F.when(F.col("id") % 50 == 0, 40).otherwise(F.col("id") % 9), "*").otherwise(""))), " ")
+    docs = spark.range(5000).select((F.col("id") % 2500).alias("doc_id"), F.lit("en").alias("lang"), F.lit("s").alias("source"), text.alias("text"), F.lit(1).alias("spans"))
+    runs = [sorted(tuple(r) for r in quality_rules.quality_rules(d).select("doc_id", "n_symbols", "kept").collect()) for d in (docs, docs.repartition(5))]
+    assert runs[0] == runs[1] and len(runs[0]) == 5000 and len({r[2] for r in runs[0]}) == 2
+
+
 def test_quality_of_nothing(spark):
     assert quality_rules.quality_rules(empty(spark)).count() == 0
 
@@ -257,9 +279,15 @@ def test_url_empty(spark):
 
 def brute_sketch(text, size=5, k=fingerprint.K):
     words = words_of(text)
-    shingles = {" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} or ({" ".join(words)} if words else set())
-    hashes = {(h - (1 << 64) if h >> 63 else h) for h in (xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles)}
-    return sorted(hashes)[:k], len(shingles)
+    shingles = {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} or ({tuple(words)} if words else set())
+
+    def combined(shingle):
+        h = 42
+        for word in shingle:
+            h = xxhash.xxh64_intdigest(xxhash.xxh64_intdigest(word.encode(), 42).to_bytes(8, "little"), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    return sorted(map(combined, shingles))[:k], len(shingles)
 
 
 def test_fingerprints_are_those_of_brute_force(spark, docs):
@@ -295,6 +323,19 @@ def test_next_document(spark, docs, rows_per_range):
     assert fingerprint.with_next(empty(spark), ["text"]).count() == 0
 
 
+def test_next_of_shared_ids_texts_and_names(spark):
+    """Ids and texts that most rows share, null ids, ties and columns named like the operator's own."""
+    rows = [(None, "same")] * 90 + [(None, f"t{i % 25}") for i in range(50)] + [(7, "x")] * 60 + [(7, None)] * 3 + [(7, f"y{i}") for i in range(40)] + [(i, f"z{i}") for i in range(100, 130)] + [((1 << 63) - 1, "top")] * 9
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"_n": F.lit(1), "_range": F.lit("r"), "next_text": F.lit("old"), "_top_id": F.lit(0)}).repartition(3)
+    hashed = dict(df.select("text", F.xxhash64("text")).distinct().collect())
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -hashed[r[1]]))
+    want = Counter((a[0], a[1], b[1]) for a, b in zip(order, order[1:] + order[:1]))
+    for size in (4, 20, 1000):
+        out = fingerprint.with_next(df, ["text"], size)
+        assert Counter((r["doc_id"], r["text"], r["next_text"]) for r in out.collect()) == want
+        assert sorted(out.columns) == sorted(df.columns)
+
+
 def test_fingerprint_query_edits_texts_as_asked(spark, tmp_path):
     from terrazzo.llm.queries import op9_fingerprint
 
@@ -315,11 +356,12 @@ def test_fingerprint_query_edits_texts_as_asked(spark, tmp_path):
 # Mixing
 
 
-def brute_copies(doc_id, rate, seed=mixing.SEED):
+def brute_copies(row, ordinal, rate, seed=mixing.SEED):
+    digest = hashlib.md5("\x1f".join("\x1e" if v is None else str(v) for v in row).encode()).hexdigest()
     draws = max(1, math.ceil(rate / mixing.MAX_RATE_PER_DRAW))
     mean, total = rate / draws, 0
     for j in range(1, draws + 1):
-        u = int(hashlib.md5(f"{seed}:{'' if doc_id is None else doc_id}:{j}".encode()).hexdigest()[:12], 16) / (1 << 48)
+        u = int(hashlib.md5(f"{seed}:{digest}:{ordinal}:{j}".encode()).hexdigest()[:12], 16) / (1 << 48)
         k, p = 0, math.exp(-mean)
         cdf = p
         while cdf <= u:
@@ -339,7 +381,9 @@ def test_copies_are_those_of_brute_force(docs, weights):
     weight = {s: m**0.7 for s, m in mass.items()} if weights is None else {s: weights.get(s, 0.0) for s in mass}
     rate = {s: weight[s] / sum(weight.values()) * sum(mass.values()) / mass[s] for s in mass}
     got = Counter(r["doc_id"] for r in mixing.mix_sources(docs, weights).collect())
-    assert got == Counter({i: n for i, _, _, s, _ in rows if (n := brute_copies(i, rate[s]))})
+    assert got == Counter({r[0]: n for r in rows if (n := brute_copies(r, 1, rate[r[3]]))})
+    twice = Counter(r["doc_id"] for r in mixing.mix_sources(docs.unionByName(docs), weights).collect())
+    assert twice == Counter({r[0]: n for r in rows if (n := sum(brute_copies(r, k, rate[r[3]]) for k in (1, 2)))})
 
 
 def test_mixture_reaches_its_target_and_is_shuffled(spark):
@@ -352,6 +396,18 @@ def test_mixture_reaches_its_target_and_is_shuffled(spark):
     assert mixing.mix_sources(empty(spark)).count() == 0
 
 
+def test_mixture_of_rows_without_ids_and_of_equal_rows(spark, request):
+    """Each row draws by itself, and copies spread over partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    none = spark.range(4000).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 1000 + 1000).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(9).alias("n_chars"))
+    for rows in (none, none.withColumn("text", F.lit("one text for all")), none.withColumn("doc_id", F.lit(5))):
+        out = mixing.mix_sources(rows)
+        assert abs(out.count() - 4000) < 250
+        per_part = out.groupBy(F.spark_partition_id()).count().collect()
+        assert len(per_part) > 1 and max(r["count"] for r in per_part) < 2500
+
+
 # Preference formatting
 
 
