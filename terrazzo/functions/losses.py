@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .scalar import exp_link, sigmoid
 
 LOSSES = ("squared_error", "quantile", "poisson", "gamma", "tweedie")
+LOG_LINK = ("poisson", "gamma", "tweedie")
 
 
 def mean_of(loss: str, score: Column) -> Column:
     """Prediction on the scale of the target."""
-    return exp_link(score) if loss in ("poisson", "gamma", "tweedie") else score
+    return exp_link(score) if loss in LOG_LINK else score
 
 
 def residual(loss: str, y: Column, score: Column, quantile: float = 0.5, power: float = 1.5) -> Column:
@@ -70,3 +72,23 @@ def loss_of(loss: str, y: Column, score: Column, quantile: float = 0.5, power: f
     if loss == "log_loss":
         return log_loss(y, sigmoid(score))
     raise ValueError(f"unknown loss {loss!r}")
+
+
+def each(loss: str, y: np.ndarray, mu: np.ndarray, quantile: float = 0.5, power: float = 1.5) -> np.ndarray:
+    """`loss_of` over arrays, from the prediction on the scale of the target; softmax: a class's share of the log loss."""
+    if loss == "squared_error":
+        return (y - mu) ** 2
+    if loss == "quantile":
+        return np.maximum(quantile * (y - mu), (quantile - 1.0) * (y - mu))
+    if loss == "softmax":
+        return -y * np.log(np.clip(mu, 1e-15, 1.0))
+    if loss == "log_loss":
+        p = np.clip(mu, 1e-15, 1 - 1e-15)
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p))
+    if loss == "poisson":
+        return 2 * (np.where(y > 0, y * np.log(np.where(y > 0, y, 1.0) / mu), 0.0) - (y - mu))
+    if loss == "gamma":
+        return 2 * (y / mu - 1 - np.log(y / mu))
+    if loss == "tweedie":
+        return 2 * (y ** (2 - power) / ((1 - power) * (2 - power)) - y * mu ** (1 - power) / (1 - power) + mu ** (2 - power) / (2 - power))
+    raise ValueError(f"unknown loss {loss!r}")

@@ -70,27 +70,32 @@ def period_windows(df: DataFrame, period: str, y: str, window: str = "expanding"
     return by.select(period, F.coalesce(F.sum("c").over(frame), F.lit(0)).alias("train_rows"), (F.sum("s").over(frame) / F.sum("c").over(frame)).alias("train_mean"), F.lag(period).over(order).alias("previous"))
 
 
-def purify(cells: DataFrame, a: str, b: str, sweeps: int = 50, n: str = "n", value: str = "value", tolerance: float = 1e-10) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Moves the margins of a pair's cell table into its mains: cells (a, b, value), and what a's and b's zones gain.
-
-    Works on cells, one row for each (a, b); rows of data are not read.
-    """
-    table = cells.select(a, b, F.col(n).cast("double").alias("n"), F.col(value).alias("v")).toPandas()  # zones x zones
-    gains = {a: {}, b: {}}
+def purify_gains(table, a: str, b: str, n: str, value: str, sweeps: int = 50, tolerance: float = 1e-10) -> tuple[object, dict, dict]:
+    """A pair's cells (a pandas frame, one row for each) without their margins, and what each zone of either side takes of them."""
+    table, gains = table.copy(), {a: {}, b: {}}
     for _ in range(sweeps):
         worst = 0.0
         for side in (a, b):
-            mean = table.groupby(side, dropna=False).apply(lambda g: (g.n * g.v).sum() / g.n.sum() if g.n.sum() else 0.0, include_groups=False)
-            table["v"] -= table[side].map(mean)
+            mean = table.groupby(side, dropna=False).apply(lambda g: (g[n] * g[value]).sum() / g[n].sum() if g[n].sum() else 0.0, include_groups=False)
+            table[value] -= table[side].map(mean)
             for zone, gain in mean.items():
                 gains[side][zone] = gains[side].get(zone, 0.0) + float(gain)
             worst = max(worst, float(mean.abs().max()) if len(mean) else 0.0)
         if worst < tolerance:
             break
+    return table, gains[a], gains[b]
+
+
+def purify(cells: DataFrame, a: str, b: str, sweeps: int = 50, n: str = "n", value: str = "value", tolerance: float = 1e-10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Moves the margins of a pair's cell table into its mains: cells (a, b, value), and what a's and b's zones gain.
+
+    Works on cells, one row for each (a, b); rows of data are not read.
+    """
+    table = cells.select(a, b, F.col(n).cast("double").alias(n), F.col(value).cast("double").alias(value)).toPandas()  # zones x zones
+    back, of_a, of_b = purify_gains(table, a, b, n, value, sweeps, tolerance)
     spark = cells.sparkSession
-    back = spark.createDataFrame(table[[a, b, "n", "v"]].rename(columns={"v": value, "n": n}))
-    frame = lambda side: spark.createDataFrame([(z, g) for z, g in gains[side].items()], f"{side} {cells.schema[side].dataType.simpleString()}, gain double")
-    return back, frame(a), frame(b)
+    frame = lambda side, gains: spark.createDataFrame([(z, g) for z, g in gains.items()], f"{side} {cells.schema[side].dataType.simpleString()}, gain double")
+    return spark.createDataFrame(back), frame(a, of_a), frame(b, of_b)
 
 
 def purify_sweep(cells: DataFrame, side: str, n: str = "n", value: str = "value") -> DataFrame:

@@ -400,12 +400,66 @@ def softmax_probs(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").agg(*(r(F.avg(v), 8).alias(f"p{n}") for n, v in zip("abc", p)))
 
 
-@query("with c as (select least(n, m) n from (select count(*) filter (where l_returnflag = 'R') n, count(*) filter (where l_returnflag <> 'R') m from lineitem)) select n > 0 ok from c")
+KEY = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
+
+
+def sql_hash(*parts: str) -> str:
+    """`frames.hash31` in SQL, of expressions that are text."""
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 12))::bigint % {frames.PRIME})"
+
+
+SQL_KEY = "(" + " || '-' || ".join(f"{c}::varchar" for c in KEY[:4]) + ")"
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """lineitem with a text key that SQL engines build alike."""
+    return df.withColumn("k", F.concat_ws("-", *KEY[:4]))
+
+
+def sql_unit(seed: int, key: str = SQL_KEY) -> str:
+    return f"({sql_hash(repr(str(seed)), key)} / {frames.PRIME}.0)"
+
+
+@query(f"with u as (select {sql_unit(7)} u, l_quantity from lineitem) select case when u < 0.2 then 'val' when u < 0.2 + 0.1 then 'cal' else 'fit' end part, count(*) n, round(avg(l_quantity), 6) mean from u group by 1")
+def split_parts(spark, sf_dir):
+    parts = frames.split(keyed(table(spark, sf_dir, "lineitem")), {"val": 0.2, "cal": 0.1}, "k", 7)
+    every = None
+    for name, part in parts.items():
+        own = part.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), r(F.avg("l_quantity")).alias("mean"))
+        every = own if every is None else every.unionByName(own)
+    return every
+
+
+@query(f"select l_returnflag, count(*) n, round(avg(l_extendedprice), 4) mean from lineitem where {sql_unit(3)} < 0.3 group by 1")
+def subsample_rows(spark, sf_dir):
+    return frames.subsample(keyed(table(spark, sf_dir, "lineitem")), 0.3, "k", 3).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), r(F.avg("l_extendedprice"), 4).alias("mean"))
+
+
+def _sql_poisson(u: str) -> str:
+    p, total, steps = 0.36787944117144233, 0.0, []
+    for k in range(12):
+        p = p if k == 0 else p / k
+        total += p
+        steps.append(f"(case when {u} >= {total!r} then 1 else 0 end)")
+    return " + ".join(steps)
+
+
+@query(f"with d as (select rep, {sql_hash("'5'", 'rep::varchar', SQL_KEY)} / {frames.PRIME}.0 u, l_quantity from lineitem, (select unnest(range(0, 4)) rep)), t as (select rep, {_sql_poisson('u')} times, l_quantity from d) select rep::int replicate, sum(times)::bigint n, round(sum(times * l_quantity) / sum(times), 6) mean from t group by 1")
+def bootstrap_rows(spark, sf_dir):
+    """Four bootstraps of the rows, each row a Poisson number of times."""
+    drawn = frames.bootstrap(keyed(table(spark, sf_dir, "lineitem")), 4, "k", 5)
+    return drawn.groupBy("replicate").agg(F.count(F.lit(1)).alias("n"), r(F.avg("l_quantity")).alias("mean"))
+
+
+@query(f"with c as (select l_returnflag g, count(*) c from lineitem group by 1), m as (select g, (select min(c) from c) * 1.0 / c share from c) select l_returnflag, count(*) n from lineitem join m on l_returnflag = g where {sql_unit(0)} < share group by 1")
 def undersample_counts(spark, sf_dir):
-    df = frames.row_id(table(spark, sf_dir, "lineitem")).withColumn("label", F.when(F.col("l_returnflag") == "R", 1).otherwise(0))
-    kept = {x[0]: x[1] for x in frames.undersample(df, "label").groupBy("label").count().collect()}
-    least = min(x[1] for x in df.groupBy("label").count().collect())
-    return spark.createDataFrame([(all(abs(n - least) <= 6 * least**0.5 for n in kept.values()),)], "ok boolean")
+    return frames.undersample(keyed(table(spark, sf_dir, "lineitem")), "l_returnflag", "k").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("with e as (select l_discount * 40 - 2 s, l_quantity y from lineitem), m as (select exp(least(greatest(s, -30), 30)) mu, y from e) select round(avg(mu), 6) mean, round(avg(power(mu, -0.5) * (y - mu)), 6) tweedie, round(avg(y / mu - 1), 6) gamma, round(avg(y - mu), 6) poisson from m")
+def log_link_residuals(spark, sf_dir):
+    y, s = F.col("l_quantity"), F.col("l_discount") * 40 - 2
+    return table(spark, sf_dir, "lineitem").agg(r(F.avg(scalar.exp_link(s))).alias("mean"), *(r(F.avg(losses.residual(n, y, s))).alias(n) for n in ("tweedie", "gamma", "poisson")))
 
 
 # Intervals and drift
@@ -559,26 +613,217 @@ def regressor_explain(spark, sf_dir):
     return model.explain(model.predict(df), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "row_id", "y", "prediction"])
 
 
-@query("select round(var_pop(l_extendedprice*l_discount/1000), 6) target_variance, true fits, true sums from lineitem")
+@query()
 def regressor_quality(spark, sf_dir):
-    """The model explains most of the target, and contributions sum to the prediction."""
+    """Share of the target's variance that the model explains, and how far contributions lie from the prediction at most."""
     df = modelled(spark, sf_dir)
     model = regressor(df, rounds=5)
     wide = model.explain(model.predict(df), ["y", "prediction"])
     names = ["baseline", *(scalar.term_name(*t) for t in model.model.term_columns())]
     total = sum((F.col(f"`{n}`") for n in names[1:]), F.col("baseline"))
-    return wide.agg(r(F.var_pop("y")).alias("target_variance"), (F.avg((F.col("y") - F.col("prediction")) ** 2) < 0.2 * F.var_pop("y")).alias("fits"), (F.max(F.abs(total - F.col("prediction"))) < 1e-9).alias("sums"))
+    return wide.agg(r(1 - F.avg((F.col("y") - F.col("prediction")) ** 2) / F.var_pop("y")).alias("explained"), F.max(F.abs(total - F.col("prediction"))).alias("gap"))
+
+
+# Fits of one round, repeated by SQL: categories need no cuts, one term's lasso weight is a quotient.
+
+ONE = {"rounds": 1, "learning_rate": 0.5, "row_share": 1.0, "column_share": 1.0, "alpha": 0.002, "m": 10.0, "folds": 5, "seed": 42}
+
+
+def sql_round(rows: str, name: str, salt: int = 0) -> str:
+    """CTEs that fit one round to ``rows`` (k, z, w, r): ``<name>`` (z, step) is what each zone's score moves by."""
+    from .boost import salted
+
+    a, b = salted(ONE["seed"], 0, 1 + salt)
+    fold = f"floor((({sql_hash('k')} * {a} + {b}) % {frames.PRIME}) / {frames.PRIME}.0 * {ONE['folds']})"
+    m = ONE["m"]
+    return f"""{name}_f as (select *, {fold} f from {rows}),
+{name}_z as (select z, sum(w) n, sum(w*r) s from {name}_f group by 1), {name}_a as (select sum(n) n, sum(s) s from {name}_z),
+{name}_k as (select f, sum(w) n, sum(w*r) s from {name}_f group by 1), {name}_c as (select z, f, sum(w) n, sum(w*r) s from {name}_f group by 1, 2),
+{name}_d as (select x.z, (x.s + {m} * t.s/t.n) / (x.n + {m}) - t.s/t.n dev from {name}_z x, {name}_a t),
+{name}_o as (select c.z, c.f, (x.s - c.s + {m} * (t.s - y.s)/(t.n - y.n)) / (x.n - c.n + {m}) - (t.s - y.s)/(t.n - y.n) v from {name}_c c join {name}_z x using (z) join {name}_k y using (f), {name}_a t),
+{name}_m as (select sum(w*v)/sum(w) mv, sum(w*r)/sum(w) mr, sum(w*v*r)/sum(w) vr, sum(w*v*v)/sum(w) vv, stddev_pop(v) sv, stddev_pop(r) sr from {name}_f join {name}_o using (z, f)),
+{name}_b as (select *, (vr - mv*mr) / (sv*sr) c, (vv - mv*mv) / (sv*sv) own from {name}_m),
+{name}_w as (select *, sign(c) * greatest(abs(c) - {ONE['alpha']}, 0) / own * sr / sv weight from {name}_b),
+{name} as (select z, {ONE['learning_rate']} * (mr - weight*mv + weight*dev) step from {name}_d, {name}_w)"""
+
+
+_CATEGORY = "case when l_linenumber = 7 then null else l_returnflag || l_linestatus end"
+
+
+def categorized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed(table(spark, sf_dir, "lineitem")).select("k", F.expr(_CATEGORY.replace("||", "||")).alias("z"), (F.col("l_extendedprice") / 1000 + F.when(F.col("l_returnflag") == "R", 10).otherwise(0)).alias("y"), (F.col("l_quantity") / 10).alias("w"), F.when(F.expr("l_returnflag = 'R' or l_linenumber > 4"), 1).otherwise(0).alias("label"), F.log("l_quantity").alias("exposure"))
+
+
+_CATEGORIZED = f"x as (select {SQL_KEY} k, coalesce({_CATEGORY}, '-') z, l_extendedprice/1000 + (case when l_returnflag = 'R' then 10 else 0 end) y, l_quantity/10 w, (case when l_returnflag = 'R' or l_linenumber > 4 then 1.0 else 0.0 end) l, l_quantity e from lineitem)"
+
+
+def by_zone(df: DataFrame, *columns: str) -> DataFrame:
+    return df.groupBy(F.coalesce("z", F.lit("-")).alias("z")).agg(F.count(F.lit(1)).alias("n"), *(r(F.avg(F.col(f"`{c}`"))).alias(c) for c in columns))
+
+
+def _fitted(cls, df: DataFrame, target: str, **options):
+    return cls(["z"], target, categorical=["z"], key="k", **{**ONE, "validation": 0.0, **options}).fit(df)
+
+
+_RESULT = "select x.z, count(*) n, {what} from x join s on x.z = s.z, b group by x.z"
+
+
+@query(f"with {_CATEGORIZED}, b as (select avg(y) m from x), rows as (select k, z, 1.0 w, y - m r from x, b), {sql_round('rows', 's')} " + _RESULT.format(what="round(avg(m + step), 6) prediction"))
+def regressor_one_round(spark, sf_dir):
+    from .estimators import ZoneRegressor
+
+    df = categorized(spark, sf_dir)
+    return by_zone(_fitted(ZoneRegressor, df, "y").predict(df), "prediction")
+
+
+@query(f"with {_CATEGORIZED}, b as (select sum(w*y)/sum(w) m from x), rows as (select k, z, w, y - m r from x, b), {sql_round('rows', 's')} " + _RESULT.format(what="round(avg(m + step), 6) prediction"))
+def weighted_one_round(spark, sf_dir):
+    from .estimators import ZoneRegressor
+
+    df = categorized(spark, sf_dir)
+    return by_zone(_fitted(ZoneRegressor, df, "y", weight="w").predict(df), "prediction")
+
+
+@query(f"with {_CATEGORIZED}, b as (select ln(sum(y) / sum(e)) m from x), rows as (select k, z, 1.0 w, y - exp(m + ln(e)) r from x, b), {sql_round('rows', 's')} " + _RESULT.format(what="round(avg(exp(m + ln(e) + step)), 6) prediction"))
+def poisson_one_round(spark, sf_dir):
+    from .estimators import ZoneRegressor
+
+    df = categorized(spark, sf_dir)
+    return by_zone(_fitted(ZoneRegressor, df, "y", offset="exposure", loss="poisson").predict(df), "prediction")
+
+
+@query(f"with {_CATEGORIZED}, b as (select ln(avg(l) / (1 - avg(l))) m, avg(l) p from x), rows as (select k, z, 1.0 w, l - p r from x, b), {sql_round('rows', 's')} " + _RESULT.format(what="round(avg(1 / (1 + exp(-(m + step)))), 6) p_1"))
+def classifier_one_round(spark, sf_dir):
+    from .estimators import ZoneClassifier
+
+    df = categorized(spark, sf_dir)
+    return by_zone(_fitted(ZoneClassifier, df, "label").predict(df), "p_1")
 
 
-@query("select true same, count(*) n from lineitem")
+_CLASSES = ("F", "O", "P")
+_ORDERS = "x as (select o_orderkey::varchar k, o_orderpriority z, o_orderstatus c from orders)"
+_BASES = "b as (select " + ", ".join(f"avg(case when c = '{c}' then 1.0 else 0.0 end) {c.lower()}" for c in _CLASSES) + " from x)"
+_JOINED = " join ".join(f"s{i}" + ("" if i == 0 else f" on s{i}.z = s0.z") for i in range(3))
+
+
+@query(f"with {_ORDERS}, {_BASES}, " + ", ".join(f"r{i} as (select k, z, 1.0 w, (case when c = '{c}' then 1.0 else 0.0 end) - {c.lower()} r from x, b), " + sql_round(f"r{i}", f"s{i}", i) for i, c in enumerate(_CLASSES)) + f", j as (select s0.z, s0.step a, s1.step o, s2.step p, (s0.step + s1.step + s2.step)/3 mean from {_JOINED}), e as (select z, f*exp(a - mean) f, b.o*exp(j.o - mean) o, b.p*exp(j.p - mean) p from j, b) select z, round(f/(f+o+p), 8) \"p_F\", round(o/(f+o+p), 8) \"p_O\", round(p/(f+o+p), 8) \"p_P\" from e")
+def softmax_one_round(spark, sf_dir):
+    """Joint softmax of three classes: each class's step from its own residual, centred."""
+    from .estimators import ZoneClassifier
+
+    df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k"), F.col("o_orderpriority").alias("z"), F.col("o_orderstatus").alias("c"))
+    found = _fitted(ZoneClassifier, df, "c").predict(df).select("z", *(r(F.col(f"p_{c}"), 8).alias(f"p_{c}") for c in _CLASSES))
+    return found.distinct()
+
+
+# A given model, repeated by its own SQL.
+
+
+def given_model(shift: float = 0.0):
+    """Mains with and without smoothing, a spline, a category, pairs of numbers and of a number and a category."""
+    import numpy as np
+
+    from .model import Model, Round, Spline, Zoning
+
+    quantity = Zoning("l_quantity", [11.0, 31.0], [5.0, 20.0, 42.0])
+    partly = Zoning("l_quantity", [21.0], [10.0, 35.0], lam=0.4)
+    discount = Zoning("l_discount", [0.035, 0.065], [0.01, 0.05, 0.085])
+    flag = Zoning("l_returnflag", categories=["A", "N"])
+    q, d, f = ("l_quantity",), ("l_discount",), ("l_returnflag",)
+    first = Round({"l_quantity": quantity, "l_discount": discount, "l_returnflag": flag}, {q: np.array([1.0, 2.5, 3.25 + shift, -1.0]), d: np.array([-0.5, 0.75, 1.5, 0.0]), f: np.array([0.5, -0.25, 0.1, 0.9]), q + d: np.arange(16.0).reshape(4, 4) / 10, f + d: np.arange(16.0).reshape(4, 4)[::-1] / 20}, {q: 0.8, d: 1.1, f: 0.7, q + d: 0.5, f + d: -0.4}, 0.2)
+    second = Round({"l_quantity": partly, "l_discount": discount}, {q: np.array([0.4, -0.6, 0.3]), d: Spline([0.02, 0.07], [0.1, 3.0, -5.0, 9.0 + shift], -0.2)}, {q: 0.9, d: 0.6}, -0.1)
+    return Model(2.0, 0.5, [first, second])
+
+
+_GIVEN_FEATURES = ("l_quantity", "l_discount", "l_returnflag")
+
+
+def given(spark: SparkSession, sf_dir: str, shift: float = 0.0, **options):
+    """The given model as an estimator, and lineitem with its key, target and some unknown and missing values."""
+    from .estimators import ZoneRegressor
+
+    df = keyed(table(spark, sf_dir, "lineitem")).withColumns({"l_quantity": F.when(F.col("l_linenumber") != 3, F.col("l_quantity")), "y": F.col("l_extendedprice") / 10000})
+    model = ZoneRegressor(_GIVEN_FEATURES, "y", key="k", **options)
+    return model.with_model(given_model(shift), df.where(frames.unit_hash(F.col("k"), seed=9) < 0.4), df), df
+
+
+_GIVEN = f"g as (select * replace (case when l_linenumber <> 3 then l_quantity end as l_quantity), {SQL_KEY} k, l_extendedprice/10000 y from lineitem)"
+_KEYS = ["k", "l_returnflag", "y"]
+
+
+@query(f"with {_GIVEN}, p as ({given_model().to_sql('g', keys=_KEYS)}) select k, round(prediction, 9) prediction from p")
 def scorecard_sql(spark, sf_dir):
-    """The generated SQL, run by Spark over the table, against the model's own columns."""
-    df = modelled(spark, sf_dir)
-    model = regressor(df, rounds=2)
-    df.createOrReplaceTempView("terrazzo_scorecard")
-    text = model.to_sql("terrazzo_scorecard", ["row_id"]).replace('"', "`")
-    both = spark.sql(text).withColumnRenamed("prediction", "p").join(model.predict(df).select("row_id", "prediction"), "row_id")
-    return both.agg((F.max(F.abs(F.col("p") - F.col("prediction"))) < 1e-9).alias("same"), F.count(F.lit(1)).alias("n"))
+    """The scorecard that `to_sql` writes, run by another engine, against the engine's own predictions."""
+    model, df = given(spark, sf_dir)
+    return model.predict(df).select("k", r(F.col("prediction"), 9).alias("prediction"))
+
+
+@query(f"with {_GIVEN}, p as ({given_model().to_sql('g', keys=_KEYS)}), e as (select l_returnflag g, abs(y - prediction) e from p where {sql_unit(9, 'k')} < 0.4), n as (select g, e, row_number() over (partition by g order by e) rn, count(*) over (partition by g) n from e), m as (select g, e margin from n where rn = least(ceil((n+1)*0.9 - 1e-9), n)) select l_returnflag, count(*) n, round(avg(prediction - margin), 6) lower, round(avg(prediction + margin), 6) upper, round(avg(case when abs(y - prediction) <= margin then 1.0 else 0.0 end), 6) covered from p join m on g = l_returnflag group by 1")
+def given_interval(spark, sf_dir):
+    """Split conformal intervals by group around the given model."""
+    model, df = given(spark, sf_dir, mondrian="l_returnflag")
+    inside = F.col("y").between(F.col("lower"), F.col("upper")).cast("double")
+    return model.predict_interval(df, 0.1).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), r(F.avg("lower")).alias("lower"), r(F.avg("upper")).alias("upper"), r(F.avg(inside)).alias("covered"))
+
+
+@query(f"with {_GIVEN} " + " union all ".join(f"select '{scalar.term_name(*t)}' term, round(avg(abs(prediction)), 8) importance from ({given_model().only(t).to_sql('g')})" for t in given_model().terms()))
+def given_importance(spark, sf_dir):
+    model, df = given(spark, sf_dir)
+    return model.importance(df).select("term", r(F.col("importance"), 8).alias("importance"))
+
+
+_EDITED = given_model().only(("l_discount",)).to_sql("g", keys=["k", "l_discount"])
+
+
+@query(f"with {_GIVEN}, p as ({_EDITED}), e as (select l_discount between 0.0 and 0.03 touched, (case when l_discount between 0.0 and 0.03 then -1.0 else prediction end) - prediction change from p) select count(*) filter (where touched) rows_touched, round(avg(change), 8) mean_change, round(max(abs(change)), 8) max_change from e")
+def given_edit(spark, sf_dir):
+    """A governed edit of one column's effect, and what it changes."""
+    model, df = given(spark, sf_dir)
+    return model.edit_report(df, "l_discount", 0.0, 0.03, -1.0).select("rows_touched", r(F.col("mean_change"), 8).alias("mean_change"), r(F.col("max_change"), 8).alias("max_change"))
+
+
+_GRID = "t as (select k, x.l_quantity, 0.01 + i * (0.085 - 0.01) / 15 l_discount, x.l_returnflag from g x, (select unnest(range(0, 16)) i))"
+
+
+@query(f"with {_GIVEN}, {_GRID}, p as ({given_model().to_sql('t', keys=['k', 'l_discount'])}), a as (select k, l_discount, abs(prediction - 3.1) gap, row_number() over (partition by k, l_discount) one from p), n as (select *, row_number() over (partition by k order by gap, l_discount) rn from a where one = 1) select k, round(gap, 8) gap from n where rn = 1 and k in (select k from g group by k having count(*) = 1)")
+def counterfactual(spark, sf_dir):
+    """For every row the discount whose score is nearest to 3.1, on a grid tried within the row."""
+    model, df = given(spark, sf_dir)
+    found = model.counterfactual(df, "l_discount", 3.1, 16)
+    once = df.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("k")
+    return found.join(once, "k").select("k", r(F.col("gap"), 8).alias("gap"))
+
+
+@query(f"with {_GIVEN}, a as ({given_model().to_sql('g', 'a', keys=['k'])}), b as ({given_model(0.5).to_sql('g', 'b', keys=['k'])}), j as (select (select avg(a) from a) a, (select avg(b) from b) b) select round(b - a, 8) shift, abs(b - a) > 0.05 drift, round((select avg((y - prediction)*(y - prediction)) from ({given_model().to_sql('g', keys=['y'])})), 8) old_loss, round((select avg((y - prediction)*(y - prediction)) from ({given_model(0.5).to_sql('g', keys=['y'])})), 8) new_loss from j")
+def given_comparison(spark, sf_dir):
+    """Prediction shift and losses of two given models over the same rows."""
+    from .estimators import compare_models
+
+    (old, df), (new, _) = given(spark, sf_dir), given(spark, sf_dir, 0.5)
+    found = compare_models(old, new, df, 0.05)
+    rounded = lambda part: part.select(*(r(F.col(c), 8).alias(c) if c != "drift" else F.col(c) for c in part.columns))
+    return rounded(found["prediction"]).crossJoin(rounded(found["performance"]))  # one row each
+
+
+@query(f"with {_GIVEN}, a as ({given_model().to_sql('g', 'a', keys=['k', 'l_returnflag'])}), b as ({given_model(0.5).to_sql('g', 'b', keys=['k', 'l_returnflag'])}), j as (select l_returnflag, avg(a) m from a group by 1), i as (select l_returnflag, avg(b) m from b group by 1) select l_returnflag, round((j.m + i.m) / 2, 8) prediction from j join i using (l_returnflag)")
+def given_forest(spark, sf_dir):
+    """The mean of two given models."""
+    from .estimators import ZoneForest
+
+    _, df = given(spark, sf_dir)
+    forest = ZoneForest(_GIVEN_FEATURES, "y", estimators=2, key="k")
+    forest.models = [given_model(), given_model(0.5)]
+    return forest.predict(df).groupBy("l_returnflag").agg(r(F.avg("prediction"), 8).alias("prediction"))
+
+
+def given_rate():
+    import numpy as np
+
+    from .model import Model, Round, Zoning
+
+    value, start = Zoning("value", [50.0], [20.0, 70.0]), Zoning("interval_start", [1.0, 15.0], [0.0, 10.0, 20.0])
+    r_ = Round({"value": value, "interval_start": start}, {("value",): np.array([0.2, -0.3, 0.1]), ("interval_start",): np.array([0.3, -0.1, -0.4, 0.0])}, {("value",): 1.0, ("interval_start",): 1.0}, 0.0)
+    return Model(-3.0, 1.0, [r_])
 
 
 @query()
@@ -642,7 +887,7 @@ def bootstrap_stability(spark, sf_dir):
 def survival_model(spark, sf_dir):
     from .estimators import ZoneSurvival
 
-    df = frames.row_id(gaps(spark, sf_dir).where("value is not null"))
+    df = frames.row_id(gaps(spark, sf_dir))
     model = ZoneSurvival(["value"], "d", "e", intervals=3, **{**ROUNDS, "rounds": 2}, validation=0.0).fit(df)
     return model.predict_hazard(df, F.lit(24.0))
 
@@ -664,24 +909,12 @@ def conformal_quantiles(spark, sf_dir):
     return ConformalQuantiles(FEATURES[:3], "y", validation=0.0, **{**ROUNDS, "rounds": 2}).fit(df).predict_interval(df).select("row_id", "y", "lower", "upper")
 
 
-@query()
-def counterfactual(spark, sf_dir):
-    df = modelled(spark, sf_dir)
-    return regressor(df, rounds=2).counterfactual(df.where("l_linenumber = 1"), "l_discount", 2.5, 50)
-
-
-@query()
-def edit_effect(spark, sf_dir):
-    df = modelled(spark, sf_dir)
-    return regressor(df, rounds=2).edit_report(df, "l_discount", 0.0, 0.02, -1.0)
-
-
 @query()
 def model_comparison(spark, sf_dir):
     from .estimators import compare_models
 
     df = modelled(spark, sf_dir)
-    return compare_models(regressor(df.where("year(l_shipdate) < 1998"), rounds=2), regressor(df.where("year(l_shipdate) >= 1998"), rounds=2), df)
+    return compare_models(regressor(df.where("year(l_shipdate) < 1998"), rounds=2), regressor(df.where("year(l_shipdate) >= 1998"), rounds=2), df)["importance"]
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,9 +33,34 @@ def row_id(df: DataFrame) -> DataFrame:
     return df.withColumn("row_id", F.xxhash64(*df.columns))
 
 
-def unit_hash(*key, seed: int = 0) -> Column:
-    """A number in [0, 1) from a hash of the key: the engine's only source of chance."""
-    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)).cast("double") / float(1 << 30)
+#: Fixed value: the prime below which numbers of rows are drawn.
+PRIME = 2**31 - 1
+
+
+def hash31(*key: Column) -> Column:
+    """A number below ``PRIME`` from an MD5 digest of the key, which SQL engines can repeat."""
+    digest = F.md5(F.concat_ws("|", *(k.cast("string") for k in key)).cast("binary"))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") % F.lit(PRIME)
+
+
+def unit_hash(*key: Column, seed: int = 0) -> Column:
+    """A number in [0, 1) from a digest of seed and key: the engine's only source of chance."""
+    return hash31(F.lit(seed), *key).cast("double") / float(PRIME)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage through the folder that the driver and all executors share (``spark.checkpoint.dir``).
+
+    Only on one machine a temporary folder takes its place where that is unset;
+    on a cluster without one, ``df`` keeps its lineage.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            return df
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="terrazzo-"))
+    return df.checkpoint(eager=True)
 
 
 @dataclass(frozen=True)
@@ -76,7 +102,7 @@ def subsample(df: DataFrame, share: float, key: str = "row_id", seed: int = 0) -
 
 def bootstrap(df: DataFrame, replicates: int, key: str = "row_id", seed: int = 0) -> DataFrame:
     """``df`` once for each replicate and draw: with column ``replicate``, each row Poisson(1) times."""
-    u = unit_hash(F.col(key), F.col("replicate"), seed=seed)
+    u = unit_hash(F.col("replicate"), F.col(key), seed=seed)
     cdf, p, total = [], 0.36787944117144233, 0.0
     for k in range(12):
         p = p if k == 0 else p / k
