@@ -47,6 +47,8 @@ TREE_FROM = 64
 LEVELS = 512
 PRIME = 2**31 - 1  # of the linear draws
 CODE = "_b_"
+#: Where rows in memory keep the values of a round's terms between its kernels.
+_KEPT = "_kept"
 
 
 @dataclass(frozen=True)
@@ -311,22 +313,26 @@ class ArrayRows(Rows):
         self.schema, self.cols = schema, dict(frame)
         if edges is None:
             edges, categories = _edges_of(frame, schema, settings.bins)
-        self.edges, self.categories = edges, categories
+        self.edges, self.categories, self.kept = edges, categories, {}
         for c in schema.names:
             self.cols[CODE + c] = _codes(self.cols[c], edges.get(c), categories.get(c))
+        _with_categories(self.cols, schema)
         self.describe()
 
     def reduce(self, kernel, columns, combine=np.add):
-        cols = {c: self.cols[c] for c in columns}
-        return kernel(cols) if len(self.cols["_y"]) else None
+        return kernel(self._given(columns)) if len(self.cols["_y"]) else None
+
+    def _given(self, columns):
+        return {c: self.cols[c] for c in columns} | {_KEPT: self.kept}
 
     def start(self, baselines):
         for k, b in enumerate(baselines):
             self.cols[f"_s{k}"] = self.cols["_o"] + b
 
     def step(self, kernel, columns, number):
-        for k, more in enumerate(kernel({c: self.cols[c] for c in columns})):
+        for k, more in enumerate(kernel(self._given(columns))):
             self.cols[f"_s{k}"] = self.cols[f"_s{k}"] + more
+        self.kept.clear()
 
 
 def _edges_of(frame: dict[str, np.ndarray], schema: frames.Schema, bins: int) -> tuple[dict, dict]:
@@ -481,14 +487,13 @@ def rows_of(df: DataFrame, schema: frames.Schema, y: Column, settings: Settings,
     ).where("_y is not null and not isnan(_y) and _o is not null and _w is not null")
     width = max(1, len(schema.names))
     most = (LOCAL_VALUES if local is None else local) // width
+    if base.limit(most + 1).count() <= most:
+        return ArrayRows(_numpy(base.toArrow()), schema, settings)
     cores = df.sparkSession.sparkContext.defaultParallelism
     if base.rdd.getNumPartitions() < 2 * cores:  # few input splits would leave cores idle in every round
         base = base.repartition(2 * cores, "_h")
     base = base.persist()
     try:
-        if base.limit(most + 1).count() <= most:
-            table = base.toArrow()
-            return ArrayRows(_numpy(table), schema, settings)
         return SparkRows(base, schema, settings)
     finally:
         base.unpersist()
@@ -990,12 +995,24 @@ def line_fit(n: float, x: float, y: float, xx: float, xy: float) -> tuple[float,
 
 def _term_values(p: _Plan, cols: dict, v: _View) -> np.ndarray:
     """[term, row]: rows of the sample by the other folds' tables, the others by the full ones."""
-    r = p.round
+    r, n = p.round, len(v.r)
+    if _KEPT in cols and (p.channel.index, id(p)) in cols[_KEPT]:
+        return cols[_KEPT][p.channel.index, id(p)]
     soft = r.soft({c: cols[c] for c in p.names})
-    at = v.inside
-    if not r.tables:
-        return np.zeros((0, len(v.r)))
-    return np.stack([np.where(at, r.values(t, soft, p.fold_tables[t], v.fold), r.values(t, soft)) for t in r.tables])
+    out = np.empty((len(r.tables), n))
+    parts = [(v.inside, True), (~v.inside, False)] if 0 < v.inside.sum() < n else [(None, bool(n and v.inside[0]))]
+    for own, folded in parts:
+        some = soft if own is None else {c: tuple(x[own] for x in parts_) for c, parts_ in soft.items()}
+        fold = v.fold if own is None else v.fold[own]
+        for i, t in enumerate(r.tables):
+            found = r.values(t, some, p.fold_tables[t], fold) if folded else r.values(t, some)
+            if own is None:
+                out[i] = found
+            else:
+                out[i, own] = found
+    if _KEPT in cols:
+        cols[_KEPT][p.channel.index, id(p)] = out
+    return out
 
 
 def _stack(rows: Rows, plans: Sequence[_Plan], number: int, passes: int = 6) -> None:

@@ -78,8 +78,10 @@ class Zoning:
 
 def category_codes(x: np.ndarray, categories: Sequence[str]) -> np.ndarray:
     """Place of each value among sorted ``categories``; missing: their number; unseen: one more."""
-    place = {v: i for i, v in enumerate(categories)}
-    return np.array([len(place) if v is None or v != v else place.get(str(v), len(place) + 1) for v in x], dtype=np.int64)
+    import pandas as pd
+
+    codes = pd.Categorical(x, categories=list(categories)).codes.astype(np.int64)
+    return np.where(codes >= 0, codes, np.where(pd.isna(x), len(categories), len(categories) + 1))
 
 
 @dataclass
@@ -123,18 +125,20 @@ class Round:
         if isinstance(self.tables[term], Spline):
             x = soft[term[0]][3].astype(float)
             return table.values(x) if fold is None else self.tables[term].values(x, table[0][fold], table[1][fold])
-        total = 0.0
-        for corner in product((0, 1), repeat=len(term)):
-            at, weight, skip = [], 1.0, False
-            for c, upper in zip(term, corner):
+        shape = table.shape if fold is None else table.shape[1:]
+        flat, total = np.ravel(table), 0.0
+        sides = [(0,) if self.zonings[c].categories is not None else (0, 1) for c in term]
+        for corner in product(*sides):
+            at, weight = fold, None
+            for c, size, upper in zip(term, shape, corner):
                 own, other, w, _ = soft[c]
-                if upper and self.zonings[c].categories is not None:
-                    skip = True
-                    break
-                at.append(other if upper else own)
-                weight = weight * (w if upper else 1.0 - w)
-            if not skip:
-                total = total + weight * (table[tuple(at)] if fold is None else table[(fold, *at)])
+                zone = other if upper else own
+                at = zone if at is None else at * size + zone
+                if self.zonings[c].categories is None:
+                    w = w if upper else 1.0 - w
+                    weight = w if weight is None else weight * w
+            found = flat.take(at)
+            total = total + (found if weight is None else weight * found)
         return total
 
     def column(self, term: Term) -> Column:
