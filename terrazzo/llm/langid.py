@@ -1,23 +1,26 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-One model of order ``ORDER`` for each language, fitted on a bounded sample of
-texts (`FIT_ROWS` texts and `FIT_CHARACTERS` characters for each language).
+One model of order ``ORDER`` for each language, fitted on a bounded number of
+whole texts (`FIT_ROWS` for each language, `ASIDE_ROWS` more for the limits).
 Every value of lang is learned, in blocks of `BLOCK` languages by name. The
 models of a block share one store: the n-grams of all its languages and orders
 as sorted 64-bit hashes, beside them for each language the interpolated
 log-probability of the n-gram's last character and the back-off weight of the
-n-gram as a context. At most ``ORDER * BLOCK * FIT_CHARACTERS`` entries; a
+n-gram as a context. Entries are distinct n-grams of the texts fitted on; a
 worker holds one block at a time and keeps each text's best over the blocks,
-so memory is bounded whatever the number of languages.
+so memory is bounded whatever the number of languages. The driver reads the
+texts one at a time and keeps counts only. A block with more than ``2**16 - 1``
+different symbols is halved; a single language beyond that has one number for
+all symbols after.
 
 A text is scored whole: the language with the least cross-entropy for each
 character wins. A text is rejected when it has no letter or when its
 cross-entropy is above what held-aside texts of that language show at its
 length (``REJECT_MARGIN``).
 
-Letters are lowered; runs of anything else count as one space, so case,
-digits and markup do not matter. Null text or no letter: ``und``, score 0,
-rejected. Without any labelled text every text is ``und`` and rejected.
+Letters and marks on them are kept, letters lowered; runs of anything else
+count as one space, so case, digits and markup do not matter. Null text or no
+letter (marks alone are none): ``und``, score 0, rejected. Without any labelled text every text is ``und`` and rejected.
 Equal cross-entropies: the first language by name. Rows are scored each for
 itself; null ids, lang and source are no matter; other columns travel along.
 """
@@ -32,15 +35,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .sampling import group_counts, grouped_texts
+from .sampling import GroupedTexts, group_counts
 
 ORDER = 4
 #: Languages that are fitted, broadcast and held at once.
 BLOCK = 64
 FIT_ROWS = 400
 ASIDE_ROWS = 100
-FIT_CHARACTERS = 1_000_000
-LONGEST = 100_000
 #: Size of the uniform distribution below unigrams.
 SYMBOLS = 1 << 16
 #: Rejected above the mean by so many standard deviations, and by half as much again as any held-aside text.
@@ -79,6 +80,10 @@ def symbols_of(text: str) -> np.ndarray:
     return points[np.r_[True, ~(space[1:] & space[:-1])]] if len(points) else points
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def _mixed(keys: np.ndarray, order: int) -> np.ndarray:
     x = keys + np.uint64(order * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -138,9 +143,7 @@ class CharModels:
         pad = np.full(self.order - 1, _START, dtype=np.uint32)
         parts, counts = [], []
         for text in texts:
-            points = symbols_of(text)
-            if not (points != 32).any():
-                points = points[:0]
+            points = symbols_of(text) if has_letter(text) else np.zeros(0, dtype=np.uint32)
             counts.append(len(points))
             parts += [pad, points]
         counts = np.array(counts, dtype=np.int64)
@@ -213,19 +216,53 @@ class Verdict:
         return self.lang, score, np.where(self.n > 0, self.least, 0.0), (self.n == 0) | self.far
 
 
-def _counts(texts: list[str], order: int, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams of the full order (last symbol lowest) and how often each occurs."""
-    pad = np.full(order - 1, _START, dtype=np.uint32)
-    found = []
-    for text in texts:
+class TooManySymbols(Exception):
+    """More symbols than numbers for them."""
+
+
+class Counts:
+    """Packed n-grams of the full order (last symbol lowest) of each language, and how often each occurs, from texts added one by one."""
+
+    _PENDING = 1 << 21
+
+    def __init__(self, order: int = ORDER, strict: bool = False):
+        self.order, self.strict = order, strict
+        self.number = np.full(0x110000, -1, dtype=np.int32)
+        self.number[_START], self.symbols = 0, [np.array([_START], dtype=np.uint32)]
+        self.known, self.pending, self.size = 1, {}, {}
+
+    def add(self, lang: str, text: str) -> None:
+        if not has_letter(text):
+            return
         points = symbols_of(text)
-        if (points != 32).any():
-            ids = number[np.r_[pad, points]].astype(np.uint64)
-            packed = np.zeros(len(points), dtype=np.uint64)
-            for lag in range(order):
-                packed |= ids[order - 1 - lag : len(ids) - lag] << np.uint64(_BITS * lag)
-            found.append(packed)
-    return np.unique(np.concatenate(found) if found else np.zeros(0, dtype=np.uint64), return_counts=True)
+        new = np.unique(points)
+        new = new[self.number[new] < 0]
+        if self.known + len(new) > (1 << _BITS) - 1 and self.strict:
+            raise TooManySymbols
+        room = (1 << _BITS) - 1 - self.known
+        self.number[new[:room]] = np.arange(self.known, self.known + len(new[:room]), dtype=np.int32)
+        self.number[new[room:]] = (1 << _BITS) - 1
+        self.symbols.append(new[:room])
+        self.known += len(new[:room])
+        ids = self.number[np.r_[np.full(self.order - 1, _START, dtype=np.uint32), points]].astype(np.uint64)
+        packed = np.zeros(len(points), dtype=np.uint64)
+        for lag in range(self.order):
+            packed |= ids[self.order - 1 - lag : len(ids) - lag] << np.uint64(_BITS * lag)
+        self.pending.setdefault(lang, []).append(np.unique(packed, return_counts=True))
+        self.size[lang] = self.size.get(lang, 0) + len(self.pending[lang][-1][0])
+        if self.size[lang] > self._PENDING and len(self.pending[lang]) > 1:
+            self.pending[lang] = [self.of(lang)]
+            self.size[lang] = 0
+
+    def of(self, lang: str) -> tuple[np.ndarray, np.ndarray]:
+        parts = self.pending.get(lang, [])
+        keys, inverse = np.unique(np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, dtype=np.uint64), return_inverse=True)
+        return keys, np.bincount(inverse, weights=np.concatenate([n for _, n in parts]) if parts else None, minlength=len(keys)).astype(np.int64)
+
+    def points(self) -> np.ndarray:
+        """Code point of each number."""
+        known = np.concatenate(self.symbols)
+        return np.r_[known, np.zeros((1 << _BITS) - len(known), dtype=np.uint32)]
 
 
 def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -238,16 +275,26 @@ def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 def fit(texts: dict[str, list[str]], order: int = ORDER, aside: dict[str, list[str]] | None = None) -> CharModels:
     """Models of the languages that are keys of ``texts``; ``aside`` sets the limits for rejection."""
-    languages = sorted(lang for lang, own in texts.items() if own)
+    counts = Counts(order)
+    for lang, own in texts.items():
+        for text in own:
+            counts.add(lang, text)
+    models = fit_counts(counts, [lang for lang, own in texts.items() if own])
+    if aside:
+        set_limits(models, ((lang, t) for lang, own in aside.items() for t in own))
+    return models
+
+
+def fit_counts(counts: Counts, wanted: list[str]) -> CharModels:
+    """Models from counted n-grams."""
+    languages, order = sorted(wanted), counts.order
     if not languages:
         return CharModels([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32), order=order)
-    seen = np.unique(np.concatenate([np.array([_START], np.uint32), *(np.unique(symbols_of(t)) for lang in languages for t in texts[lang])]))[: 1 << _BITS]
-    number = np.zeros(0x110000, dtype=np.uint32)
-    number[seen] = np.arange(len(seen), dtype=np.uint32)
+    seen = counts.points()
     # For each language and n: sorted n-grams and their counts, below the full order counts of distinct left neighbours.
     grams: list[list[tuple[np.ndarray, np.ndarray]]] = []
     for lang in languages:
-        by_n = {order: _counts(texts[lang], order, number)}
+        by_n = {order: counts.of(lang)}
         for n in range(order - 1, 0, -1):
             by_n[n] = np.unique(by_n[n + 1][0] & np.uint64((1 << (_BITS * n)) - 1), return_counts=True)
         grams.append([by_n[n] for n in range(1, order + 1)])
@@ -290,33 +337,53 @@ def fit(texts: dict[str, list[str]], order: int = ORDER, aside: dict[str, list[s
     hashes = np.concatenate([s[0] for s in stores])
     place = np.argsort(hashes, kind="stable")
     models = CharModels(languages, hashes[place], np.concatenate([s[1] for s in stores])[place].astype(np.float32), np.concatenate([s[2] for s in stores])[place].astype(np.float32), floor.astype(np.float32), order=order)
-    if aside:
-        limits, margins = np.zeros((width, 3)), np.full(width, np.inf)
-        for j, lang in enumerate(languages):
-            own = [t for t in aside.get(lang, []) if any(c.isalpha() for c in t)]
-            if len(own) < 3:
-                continue
-            entropy, n = models.entropies(own)
-            x = entropy[:, j]
-            long = n >= np.median(n)
-            mean, between = np.average(x, weights=np.minimum(n, 2000)), max(x[long].std(), LEAST_BETWEEN)
-            by_character = max(1.5, np.sqrt(max(0.0, np.median((x - mean) ** 2 * n))))
-            limits[j] = mean, by_character, between
-            margins[j] = max(REJECT_MARGIN, 1.5 * ((x - mean) / np.sqrt(by_character**2 / n + between**2)).max())
-        limits[~np.isfinite(margins), 1] = 1.0
-        models.limits, models.margins = limits, margins
     return models
 
 
+def set_limits(models: CharModels, aside) -> None:
+    """What cross-entropies held-aside texts (language, text) show: the limits for rejection."""
+    width = len(models.languages)
+    seen: list[list[tuple[float, int]]] = [[] for _ in range(width)]
+    place = {lang: j for j, lang in enumerate(models.languages)}
+    for lang, text in aside:
+        if lang in place and has_letter(text):
+            entropy, n = models.entropies([text])
+            seen[place[lang]].append((float(entropy[0, place[lang]]), int(n[0])))
+    limits, margins = np.zeros((width, 3)), np.full(width, np.inf)
+    for j, own in enumerate(seen):
+        if len(own) < 3:
+            continue
+        x, n = (np.array(v) for v in zip(*own))
+        long = n >= np.median(n)
+        mean, between = np.average(x, weights=np.minimum(n, 2000)), max(x[long].std(), LEAST_BETWEEN)
+        by_character = max(1.5, np.sqrt(max(0.0, np.median((x - mean) ** 2 * n))))
+        limits[j] = mean, by_character, between
+        margins[j] = max(REJECT_MARGIN, 1.5 * ((x - mean) / np.sqrt(by_character**2 / n + between**2)).max())
+    limits[~np.isfinite(margins), 1] = 1.0
+    models.limits, models.margins = limits, margins
+
+
 def fitted(docs: DataFrame, order: int = ORDER, block: int = BLOCK) -> list[Broadcast]:
     """Broadcast models, in blocks of languages, from the labelled texts of ``docs`` (doc_id, text, lang) outside the held-out fold."""
     counts, blocks = group_counts(docs, "lang"), []
-    for start in range(0, len(counts), block):
-        some = dict([*counts.items()][start : start + block])
-        texts = grouped_texts(docs, "lang", some, FIT_ROWS + ASIDE_ROWS, LONGEST, FIT_CHARACTERS)
-        cut = {lang: max(1, len(own) * FIT_ROWS // (FIT_ROWS + ASIDE_ROWS)) for lang, own in texts.items()}
-        models = fit({lang: own[: cut[lang]] for lang, own in texts.items()}, order, {lang: own[cut[lang] :] for lang, own in texts.items()})
+    todo = [[*counts][start : start + block] for start in range(0, len(counts), block)]
+    every = (FIT_ROWS + ASIDE_ROWS) // ASIDE_ROWS  # one text of so many is held aside
+    while todo:
+        names = todo.pop(0)
+        sample = GroupedTexts(docs, "lang", {lang: counts[lang] for lang in names}, FIT_ROWS + ASIDE_ROWS)
+        grams, found = Counts(order, strict=len(names) > 1), []
+        try:
+            for lang, i, text in sample:
+                if i % every != every - 1:
+                    grams.add(lang, text)
+                if not i:
+                    found.append(lang)
+        except TooManySymbols:
+            todo[:0] = [names[: len(names) // 2], names[len(names) // 2 :]]
+            continue
+        models = fit_counts(grams, found)
         if models.languages:
+            set_limits(models, ((lang, text) for lang, i, text in sample if i % every == every - 1))
             blocks.append(docs.sparkSession.sparkContext.broadcast(models))
     return blocks
 

@@ -1,7 +1,8 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-Terms of a text are pairs of neighbouring character classes (letters by case,
-digits, space, line end, each common mark by itself) and its repetitions (words
+Terms of a text are its letter trigrams (lowered, hashed to `TRIGRAMS`
+numbers), pairs of neighbouring character classes (letters by case, digits,
+space, line end, each common mark by itself) and its repetitions (words
 equal to the one before, four-word runs seen before). Weighted by tf-idf they
 are projected on the leading singular vectors of the labelled texts (latent
 semantic analysis). The labelled vectors, `SAMPLE_ROWS` at most of `RANK`
@@ -17,7 +18,7 @@ repeated rows score equally; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -25,12 +26,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .langid import chunks
+from .langid import chunks, symbols_of
 from .sampling import labelled_texts
 
 SAMPLE_ROWS = 6000
-LONGEST = 60_000
-SAMPLE_CHARACTERS = 40_000_000
+TRIGRAMS = 2048
+#: Weight of all trigrams against all other terms.
+TRIGRAM_SHARE = 0.3
 RANK = 48
 NEIGHBOURS = 15
 POWER = 8
@@ -40,7 +42,9 @@ THRESHOLD = 0.3
 _MARKS = ".,!?|#*$%&<>:;-'\"()/@=_+[]{}\\"
 _CLASSES = 6 + len(_MARKS) + 1
 _PAIRS = _CLASSES * _CLASSES
-TERMS = _PAIRS + 3
+_STYLE = _PAIRS + 3
+TERMS = _STYLE + TRIGRAMS
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)  # odd multipliers
 _class_of: np.ndarray | None = None
 
 
@@ -75,10 +79,21 @@ def term_frequencies(texts: list[str]) -> np.ndarray:
             again = sum(map(eq, words, words[1:])) / (n - 1)
             runs = n - 3
             before = 1 - len({*zip(words, words[1:], words[2:], words[3:])}) / runs if runs > 0 else 0.0
-            out[i, _PAIRS:] = again, before, 1 / n
+            out[i, _PAIRS:_STYLE] = again, before, 1 / n
+    for i, text in enumerate(texts):
+        letters = symbols_of(text).astype(np.uint64)
+        if len(letters) > 2:
+            mixed = (letters[:-2] * _MIX[0] + letters[1:-1] * _MIX[1] + letters[2:] * _MIX[2]) >> np.uint64(64 - TRIGRAMS.bit_length() + 1)
+            out[i, _STYLE:] = np.bincount(mixed.astype(np.int64), minlength=TRIGRAMS) / len(mixed)
     return np.sqrt(out)
 
 
+def weighted(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Unit vectors of tf-idf, style and trigrams each with its share."""
+    x = rows * idf
+    return np.concatenate([_unit(x[:, :_STYLE]) * np.float32((1 - TRIGRAM_SHARE) ** 0.5), _unit(x[:, _STYLE:]) * np.float32(TRIGRAM_SHARE**0.5)], axis=1)
+
+
 @dataclass
 class QualityModel:
     idf: np.ndarray  # [term]
@@ -88,7 +103,7 @@ class QualityModel:
     neighbours: int = NEIGHBOURS
 
     def latent(self, texts: list[str]) -> np.ndarray:
-        return _unit(_unit(term_frequencies(texts) * self.idf) @ self.axes)
+        return _unit(weighted(term_frequencies(texts), self.idf) @ self.axes)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not len(self.labels):
@@ -109,21 +124,33 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def fit(sample: list[tuple[int, str]], rank: int = RANK) -> QualityModel:
-    if not sample:
+def fit(sample: Iterable[tuple[int, str]], rank: int = RANK) -> QualityModel:
+    """A model from (label, text); of each text its terms are kept."""
+    labels, parts, texts, size = [], [], [], 0
+    for label, text in sample:
+        labels.append(label)
+        texts.append(text)
+        size += len(text)
+        if size > 1 << 20:
+            parts.append(term_frequencies(texts))
+            texts, size = [], 0
+    if texts:
+        parts.append(term_frequencies(texts))
+    if not labels:
         return QualityModel(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
-    texts = [t for _, t in sample]
-    rows = np.concatenate([term_frequencies(texts[a:b]) for a, b in chunks(texts)])
+    rows = np.concatenate(parts)
     idf = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 1).astype(np.float32)
-    weighted = _unit(rows * idf)
-    values, axes = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
-    axes = axes[:, np.argsort(values)[::-1][: min(rank, len(values))]].astype(np.float32)
-    return QualityModel(idf, axes, _unit(weighted @ axes), np.array([y for y, _ in sample], dtype=np.float64))
+    rows = weighted(rows, idf)
+    values, axes = np.linalg.eigh(rows.T @ rows if len(rows) >= TERMS else rows @ rows.T)
+    order = np.argsort(values)[::-1][: min(rank, len(values))]
+    axes = axes[:, order] if len(rows) >= TERMS else _unit((rows.T @ axes[:, order]).T).T
+    axes = axes.astype(np.float32)
+    return QualityModel(idf, axes, _unit(rows @ axes), np.array(labels, dtype=np.float64))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> QualityModel:
     """Model from the labelled documents outside the held-out fold."""
-    return fit(labelled_texts(docs, labels, label, SAMPLE_ROWS, LONGEST, SAMPLE_CHARACTERS))
+    return fit(labelled_texts(docs, labels, label, SAMPLE_ROWS))
 
 
 def scored(docs: DataFrame, model: QualityModel) -> DataFrame:

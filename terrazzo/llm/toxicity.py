@@ -16,13 +16,14 @@ the log of how much likelier it is in toxic documents (``table``); a window
 counts at the thresholds ``TIERS`` of that. A logistic regression over the
 document's counts gives the score, moved to the label's true share.
 
-What is fitted comes from a bounded sample (`SAMPLE_ROWS` of each label, whole
-texts); the dictionaries have `TOXIC_BYTES` and `ORDINARY_BYTES`, the table one
+What is fitted comes from a bounded number of labelled rows (`SAMPLE_ROWS` of
+each label, whole texts); the ordinary dictionary is trained on
+`ORDINARY_WINDOWS` of their windows; the dictionaries have `TOXIC_BYTES` and `ORDINARY_BYTES`, the table one
 entry for each triple of lengths under 100. Every document is scored whole.
 
-Cases: a text with no window over the lowest tier (null and empty texts too)
-scores at most the share of label 1; without labels of both kinds every score is the share of label
-1 among the sample (0 without any); repeated rows score equally; other columns
+Cases: null and empty texts have no window and score by the regression's
+constant; without labels of both kinds every score is the share of label 1
+among the sample (0 without any); repeated rows score equally; other columns
 are ignored.
 """
 
@@ -31,7 +32,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,11 +43,12 @@ from .sampling import labelled_texts
 from .shared import held_out
 
 SAMPLE_ROWS = {0: 6000, 1: 3000}
-LONGEST = 60_000
-SAMPLE_CHARACTERS = 40_000_000
+ORDINARY_WINDOWS = 40_000
 WINDOW = 9
 STRETCH = 3
 CONTRAST = 15.0
+#: Least length of a beginning, boundary included.
+BEGINNING = 4
 LEVEL = 9
 TOXIC_BYTES = 8192
 ORDINARY_BYTES = 16384
@@ -123,8 +125,6 @@ class ToxicityModel:
             for window in {*found}.difference(kept):
                 kept[window] = table.get(lengths.of(window), 0.0)
             logs = np.array(list(map(kept.__getitem__, found)))
-            if not (logs > TIERS[0]).any():  # no sign of it: at most what is usual
-                return min(self.share, _sigmoid(float(_features(logs) @ weights)))
             return _sigmoid(float(_features(logs) @ weights))
 
         return score
@@ -154,37 +154,39 @@ def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return np.r_[w[0] - (w[1:] * mean / spread).sum(), w[1:] / spread]
 
 
-def fit(sample: list[tuple[int, str]], share: float | None = None, seed: int = 1) -> ToxicityModel:
-    """A model from (label, text); ``share``: of label 1 where it counts, if the sample's differs."""
-    labels = np.array([y for y, _ in sample], dtype=bool)
+def fit(sample: Iterable[tuple[int, str]], share: float | None = None, seed: int = 1) -> ToxicityModel:
+    """A model from (label, text); ``share``: of label 1 where it counts, if the sample's differs. Of each text its windows' numbers are kept."""
+    number: dict[str, int] = {}
+    found, marks = [], []
+    for label, text in sample:
+        found.append(np.array([number.setdefault(w, len(number)) for w in windows(text)], dtype=np.int32))
+        marks.append(bool(label))
+    labels, all_windows = np.array(marks, dtype=bool), list(number)
     share = float(labels.mean()) if share is None and len(labels) else (share or 0.0)
     if len(labels) == 0 or labels.all() or not labels.any():
         return ToxicityModel(b"", b"", {}, np.zeros(0), share)
-    once: dict[str, str] = {}  # equal windows are one object
-    found = [[once.setdefault(w, w) for w in windows(text)] for _, text in sample]
+    beginnings = lambda w: [w[:k] for k in range(BEGINNING, WINDOW + 2) if len(w) >= k]
     seen = {True: Counter(), False: Counter()}
     for label, own in zip(labels, found):
-        seen[bool(label)].update({w[:k] for w in {*own} for k in range(5, WINDOW + 2) if len(w) >= k})
+        seen[bool(label)].update({h for w in np.unique(own).tolist() for h in beginnings(all_windows[w])})
     toxic, ordinary = int(labels.sum()), int((~labels).sum())
     least = max(2.0, 0.005 * toxic)
     contrast = {h for h, n in seen[True].items() if n >= least and n / toxic >= CONTRAST * (seen[False][h] + 0.5) / ordinary}
-    marked = [stretched(w) for label, own in zip(labels, found) if label for w in own if any(w[:k] in contrast for k in range(5, WINDOW + 2))]
+    seen.clear()
+    marked = np.array([any(h in contrast for h in beginnings(w)) for w in all_windows], dtype=bool)
+    toxic_windows = [stretched(all_windows[w]) for label, own in zip(labels, found) if label for w in own[marked[own]].tolist()]
     ordinary_texts, rng = [own for label, own in zip(labels, found) if not label], random.Random(seed)
     ends = np.cumsum([len(own) for own in ordinary_texts])
-    places = sorted(rng.sample(range(int(ends[-1])), min(40_000, int(ends[-1]))))
-    plain = [stretched(ordinary_texts[i][place - int(ends[i]) + len(ordinary_texts[i])]) for i, place in zip(np.searchsorted(ends, places, side="right").tolist(), places)]
-    model = ToxicityModel(_dictionary(ORDINARY_BYTES, plain), _dictionary(TOXIC_BYTES, marked), {}, np.zeros(0), share)
-    lengths, kept = Lengths(model.ordinary, model.toxic), {}
-    for window in {w for own in found for w in own}:
-        kept[window] = lengths.of(window)
-    codes = [np.array([kept[w] for w in own], dtype=np.int64) for own in found]
-    seen.clear()
-    counts = {kind: Counter() for kind in (True, False)}
-    for label, own in zip(labels, codes):
-        counts[bool(label)].update(own.tolist())
-    totals = {kind: sum(c.values()) + 1 for kind, c in counts.items()}
-    model.table = {code: float(np.log((n + 0.1) / totals[True]) - np.log((counts[False][code] + 0.5) / totals[False])) for code, n in counts[True].items() if n >= 3}
-    x = np.array([_features(np.array([model.table.get(c, 0.0) for c in own.tolist()])) for own in codes])
+    places = sorted(rng.sample(range(int(ends[-1])), min(ORDINARY_WINDOWS, int(ends[-1]))))
+    plain = [stretched(all_windows[ordinary_texts[i][place - int(ends[i]) + len(ordinary_texts[i])]]) for i, place in zip(np.searchsorted(ends, places, side="right").tolist(), places)]
+    model = ToxicityModel(_dictionary(ORDINARY_BYTES, plain), _dictionary(TOXIC_BYTES, toxic_windows), {}, np.zeros(0), share)
+    lengths = Lengths(model.ordinary, model.toxic)
+    code_of = np.array([lengths.of(w) for w in all_windows], dtype=np.int64)
+    counts = {kind: np.bincount(np.concatenate([code_of[own] for label, own in zip(labels, found) if label == kind]), minlength=1_000_000) for kind in (True, False)}
+    totals = {kind: c.sum() + 1 for kind, c in counts.items()}
+    log_of = np.where(counts[True] >= 3, np.log((counts[True] + 0.1) / totals[True]) - np.log((counts[False] + 0.5) / totals[False]), 0.0)
+    model.table = {int(code): float(log_of[code]) for code in np.nonzero(counts[True] >= 3)[0]}
+    x = np.array([_features(log_of[code_of[own]]) for own in found])
     model.weights = _regression(x, labels.astype(float))
     inside = labels.mean()
     model.weights[0] += np.log(share / (1 - share)) - np.log(inside / (1 - inside)) if 0 < share < 1 else 0.0
@@ -196,7 +198,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Toxicity
     usable = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
     known = {r[0]: r[1] for r in usable.groupBy(F.col(label).cast("int")).count().collect()}
     total = sum(known.values())
-    return fit(labelled_texts(docs, labels, label, SAMPLE_ROWS, LONGEST, SAMPLE_CHARACTERS), known.get(1, 0) / total if total else 0.0)
+    return fit(labelled_texts(docs, labels, label, SAMPLE_ROWS), known.get(1, 0) / total if total else 0.0)
 
 
 def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
