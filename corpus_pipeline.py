@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terrazzo.llm import langid, mixing, near_copies, packing, quality_knn
 from terrazzo.llm.queries import tokenizer_path
-from terrazzo.llm.shared import shared_folder, table
+from terrazzo.llm.shared import remove, remove_at_end, shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -35,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (resemblance 0.8 or more): the one with the least id."""
+    """One document of each group of near-duplicates (SimHash links, and resemblance of 0.8 or more): the one with the least id."""
     return _documents(near_copies.deduplicated(_documents(docs), size=SHINGLE))
 
 
@@ -62,13 +62,20 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the table documents; what each returns is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to the table documents; what each returns is written to the shared folder and read again.
+
+    A stage's files are deleted when the next one's are complete, the last one's when the Python process ends.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     base = f"{shared_folder(spark)}/terrazzo-pipeline/{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
         path = f"{base}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
+    remove_at_end(spark, base)
     return docs
 
 

@@ -140,12 +140,17 @@ def links(nodes: DataFrame, ring: Ring | None = None) -> DataFrame:
     return asked.join(tables, keeps & (F.bit_count(differ) <= ring.distance)).select("a", "b")
 
 
+def fingerprint_links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Distinct pairs (a, b) of `links`, by the chain that suits the number of fingerprints; written to the shared folder."""
+    chain = CHAIN if nodes.count() < LONG_CHAIN_FROM else CHAIN + 1
+    return checkpointed(links(nodes, Ring(distance, max(SEGMENTS, distance + 1), chain)).distinct())
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SIZE, seed: int = SEED) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable over links) of each row of ``docs`` (doc_id, text)."""
     marked = checkpointed(fingerprints(docs, size, seed))
     nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    chain = CHAIN if nodes.count() < LONG_CHAIN_FROM else CHAIN + 1
-    found = checkpointed(links(nodes, Ring(distance, max(SEGMENTS, distance + 1), chain)).distinct())
+    found = fingerprint_links(nodes, distance)
     # Components of fingerprints, then the least doc_id of each.
     grouped = components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("fp"), F.col("component").alias("_c"))
     classed = checkpointed(nodes.join(grouped, "fp", "left").withColumn("_c", F.coalesce("_c", "fp")))

@@ -435,21 +435,73 @@ def language_texts(rng, letters, n):
     return [" ".join("".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(rng.randint(5, 60))) for _ in range(n)]
 
 
-def test_kneser_ney_probabilities_sum_to_one():
-    rng = random.Random(0)
-    models = langid.fit({"x": language_texts(rng, "abcde", 20), "y": language_texts(rng, "defgh", 20)}, order=3)
-    # From a known and from an unknown context, over all symbols that unigrams know and all that they do not.
-    known = sorted({int(p) for t in language_texts(random.Random(0), "abcde", 20) + language_texts(random.Random(9), "defgh", 5) for p in langid.symbols_of(t)} | {langid._START})
-    for context in ("ab", "zz", " a"):
-        texts = [context + chr(c) for c in known]
-        base, n = models.entropies([context])
-        whole, m = models.entropies(texts)
-        p = np.exp(-(whole * m[:, None] - base * n[:, None]))
-        rest = (langid.SYMBOLS - len(known)) / langid.SYMBOLS
-        # Unknown symbols share the rest of the uniform distribution below.
-        other, k = models.entropies([context + "一"])
-        p_other = np.exp(-(other * k[:, None] - base * n[:, None]))[0] * langid.SYMBOLS * rest
-        assert p[[i for i, c in enumerate(known) if c != langid._START and (c != 32 or not context.endswith(" "))]].sum(axis=0) + p_other == pytest.approx([1.0, 1.0], abs=0.2)
+def brute_kneser_ney(texts, order, symbols=langid.SYMBOLS):
+    """p(symbol | context) of an interpolated Kneser-Ney model, by dictionaries."""
+    full = Counter()
+    for t in texts:
+        points = (langid._START,) * (order - 1) + tuple(langid.symbols_of(t).tolist())
+        full.update(points[i : i + order] for i in range(len(points) - order + 1))
+    counts = {order: full}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(gram[1:] for gram in counts[n + 1])
+    stats = {}
+    for n, own in counts.items():
+        once, twice = sum(v == 1 for v in own.values()), sum(v == 2 for v in own.values())
+        totals, kinds = Counter(), Counter()
+        for gram, v in own.items():
+            totals[gram[:-1]] += v
+            kinds[gram[:-1]] += 1
+        stats[n] = own, (once / (once + 2 * twice) if once and twice else 0.5), totals, kinds
+
+    def p(symbol, context, n=order):
+        if n == 0:
+            return 1 / symbols
+        own, discount, totals, kinds = stats[n]
+        context = context[len(context) - n + 1 :]
+        lower = p(symbol, context, n - 1)
+        if not totals[context]:
+            return lower
+        return max(own[context + (symbol,)] - discount, 0) / totals[context] + discount * kinds[context] / totals[context] * lower
+
+    return p
+
+
+def test_kneser_ney_is_that_of_brute_force():
+    rng = random.Random(2)
+    texts = {lang: [" ".join("".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(12)) for _ in range(8)] for lang, letters in (("a", "abcde"), ("b", "xyzab"), ("c", "مرحبا"))}
+    models = langid.fit(texts, order=3)
+    tried = [" ".join("".join(rng.choices("abcxyzé日", k=4)) for _ in range(5)) for _ in range(6)] + ["a", "ab", texts["a"][0]]
+    entropy, counts = models.entropies(tried)
+    for j, lang in enumerate(models.languages):
+        p = brute_kneser_ney(texts[lang], 3)
+        for i, t in enumerate(tried):
+            points = (langid._START,) * 2 + tuple(langid.symbols_of(t).tolist())
+            want = -sum(math.log(p(points[k], points[k - 2 : k])) for k in range(2, len(points)))
+            assert entropy[i, j] == pytest.approx(want / counts[i], rel=1e-6)
+        seen = {x for t in texts[lang] for x in langid.symbols_of(t).tolist()} | {langid._START}
+        unseen = max(seen) + 1
+        for context in (points[:2], tuple(map(ord, "ab")), tuple(map(ord, "qq"))):
+            total = sum(p(x, context) for x in seen) + (langid.SYMBOLS - len(seen)) * p(unseen, context)
+            assert total == pytest.approx(1.0, abs=1e-6)
+
+
+def test_texts_without_letters_are_und(spark):
+    rows = [(i, "the cat sat on the mat " * 3, "en") for i in range(1, 30)] + [(i, "der hund und die katze " * 3, "de") for i in range(30, 60)]
+    known = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    tried = spark.createDataFrame([(1, "\u0301\u0301"), (2, None), (3, ""), (4, "12 !?"), (5, "a"), (6, "the\u0301 cat " * 4000), (None, "die katze und der hund")], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in langid.identified(tried, langid.fitted(known)).collect()}
+    assert all(got[i] == ("und", 0.0) for i in (1, 2, 3, 4))
+    assert got[5][0] in ("en", "de") and got[6][0] == "en" and got[None][0] == "de"
+
+
+def test_more_symbols_than_numbers_halve_a_block(spark, monkeypatch):
+    rows = [(k * 100 + i, "".join(chr(0x4E00 + (k * 400 + (i * 37 + j * 11) % 390)) for j in range(60)), f"l{k}") for k in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(langid, "_BITS", 10)
+    blocks = langid.fitted(df)
+    assert sorted(lang for b in blocks for lang in b.value.languages) == ["l0", "l1", "l2"] and len(blocks) > 1
+    got = langid.identified(df.drop("lang"), blocks).select("doc_id", "lang_pred").collect()
+    assert all(r["lang_pred"] == f"l{r['doc_id'] // 100}" for r in got)
 
 
 def test_language_identification(spark):
@@ -523,6 +575,66 @@ def test_toxicity(spark):
     assert one.scorer()("anything") == 0.0
 
 
+def test_samples_hold_whole_texts(spark):
+    """No text is too long to be learned from, and only rows are bounded."""
+    long = "word " * 60_000
+    docs = spark.createDataFrame([(i, long if i % 7 == 0 else f"text {i}") for i in range(1, 60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id bigint, quality int")
+    from terrazzo.llm import sampling
+
+    found = list(sampling.labelled_texts(docs, labels, "quality", 1000))
+    learned = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5]
+    assert len(found) == len(learned) and sum(t == long for _, t in found) == sum(i % 7 == 0 for i in learned)
+    assert found == list(sampling.labelled_texts(docs.repartition(7), labels, "quality", 1000)) and len(list(sampling.labelled_texts(docs, labels, "quality", {0: 3, 1: 2}))) == 5
+    grouped = list(sampling.GroupedTexts(docs.withColumn("lang", F.lit("x")), "lang", {"x": len(learned)}, 10))
+    assert [i for _, i, _ in grouped] == list(range(10))
+
+
+def test_names_like_the_operators_own(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "x y")], "doc_id bigint, text string").withColumns({c: F.lit("k") for c in ("_gone", "_id", "fp", "node", "quality_score", "toxicity", "part", "ids", "words", "codes", "label")})
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    assert sorted(r["doc_id"] for r in near_copies.deduplicated(docs).collect()) == [1, 3]
+    assert fingerprint.with_next(docs, ["text"]).count() == 3 and fingerprint.fingerprints(docs).count() == 3
+    assert quality_rules.quality_rules(docs.withColumns({"lang": F.lit("en"), "source": F.lit("s")})).count() == 3
+    assert packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).agg(F.countDistinct("doc_id")).first()[0] == 3
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 1)], "doc_id bigint, quality int, toxic int")
+    assert quality_knn.scored(docs, quality_knn.fitted(docs, labels)).where("quality_score between 0 and 1").count() == 3
+    assert toxicity.scored(docs, toxicity.fitted(docs, labels)).where("toxicity between 0 and 1").count() == 3
+
+
+def test_stale_replies_of_ties_and_missing_ids(spark):
+    turns = [("c", 1, "assistant", "b"), ("c", 1, "assistant", "a"), ("c", 2, "user", "q"), ("c", 3, "assistant", None), ("d", 1, "assistant", "only"), (None, 1, "assistant", "x"), ("e", 1, "user", "q")]
+    got = sorted((r["conv_id"], r["turn"], r["role"], r["text"]) for r in preference.stale_replies(spark.createDataFrame(turns, "conv_id string, turn int, role string, text string")).collect())
+    assert got == [("c", 1, "assistant", "a"), ("c", 1, "assistant", "b"), ("c", 2, "user", "q"), ("c", 3, "assistant", "a"), ("d", 1, "assistant", ""), ("e", 1, "user", "q")]
+
+
+def test_long_chains_find_the_same_links(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    fps = {b ^ sum(1 << k for k in rng.sample(range(64), d)) for b in base for d in (0, 1, 3, 4, 5)}
+    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp bigint")
+    both = lambda: {frozenset(r) for r in simhash.fingerprint_links(nodes).collect()}
+    short = both()
+    monkeypatch.setattr(simhash, "LONG_CHAIN_FROM", 0)
+    assert both() == short and len(short) > 100
+
+
+def test_no_temporary_folder_on_a_cluster(spark, monkeypatch):
+    from terrazzo.llm import shared
+
+    class Context:
+        master = "spark://somewhere"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+
+    with pytest.raises(RuntimeError):
+        shared.shared_folder(Session)
+
+
 def test_near_copies_at_their_resemblance(spark):
     rng, size = random.Random(11), 5
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
