@@ -30,7 +30,7 @@ from .langid import chunks, symbols_of
 from .sampling import labelled_texts
 
 SAMPLE_ROWS = 6000
-TRIGRAMS = 2048
+TRIGRAMS = 512
 #: Weight of all trigrams against all other terms.
 TRIGRAM_SHARE = 0.3
 RANK = 48
@@ -89,9 +89,11 @@ def term_frequencies(texts: list[str]) -> np.ndarray:
 
 
 def weighted(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit vectors of tf-idf, style and trigrams each with its share."""
-    x = rows * idf
-    return np.concatenate([_unit(x[:, :_STYLE]) * np.float32((1 - TRIGRAM_SHARE) ** 0.5), _unit(x[:, _STYLE:]) * np.float32(TRIGRAM_SHARE**0.5)], axis=1)
+    """Unit vectors of tf-idf, style and trigrams each with its share; takes the place of ``rows``."""
+    rows *= idf
+    for part, share in ((rows[:, :_STYLE], 1 - TRIGRAM_SHARE), (rows[:, _STYLE:], TRIGRAM_SHARE)):
+        part *= np.float32(share**0.5) / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), np.float32(1e-12))
+    return rows
 
 
 @dataclass
@@ -138,7 +140,12 @@ def fit(sample: Iterable[tuple[int, str]], rank: int = RANK) -> QualityModel:
         parts.append(term_frequencies(texts))
     if not labels:
         return QualityModel(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
-    rows = np.concatenate(parts)
+    rows = np.empty((len(labels), TERMS), dtype=np.float32)
+    at = len(labels)
+    while parts:  # one copy of the terms
+        part = parts.pop()
+        rows[at - len(part) : at] = part
+        at -= len(part)
     idf = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 1).astype(np.float32)
     rows = weighted(rows, idf)
     values, axes = np.linalg.eigh(rows.T @ rows if len(rows) >= TERMS else rows @ rows.T)
