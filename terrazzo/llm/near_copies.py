@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .components import components
-from .shared import checkpointed, unused
+from .shared import checkpointed, fits_broadcast, unused
 
 SIMILARITY = 0.8
 SIZE = 5
@@ -44,6 +44,8 @@ ROWS = 5
 SEED = 42
 #: Shingles whose permuted hashes are in memory at once.
 AT_ONCE = 2048
+#: Document ids (one number each) that are broadcast; beyond it texts are shuffled to them.
+MAX_BROADCAST_IDS = 4_000_000
 
 _NODE_SEED = 43
 
@@ -174,7 +176,12 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SIZ
     heads = buckets.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last"), *members).where("head <> last")
     shared = checkpointed(buckets.join(heads.groupBy("head", "last", "_s0", "_s1").agg(F.min("key").alias("key")).select("key"), "key"))
     chosen = nodes.join(shared.select("node").distinct(), "node").select("node", F.col("one.doc_id").alias("_id"), F.col("one.raw").alias("_raw"))
-    found = _with_raw(docs).join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("raw") == F.col("_raw")))
+    chosen = checkpointed(chosen)
+    wanted = chosen.select(F.coalesce("_id", F.lit(0)).alias("_key")).distinct()
+    candidates = _with_raw(docs)
+    if fits_broadcast(wanted, MAX_BROADCAST_IDS):  # only texts that are compared are shuffled; a null id counts as 0 here, the join below is exact
+        candidates = candidates.join(F.broadcast(wanted), F.coalesce("doc_id", F.lit(0)) == F.col("_key"), "left_semi")
+    found = candidates.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("raw") == F.col("_raw")))
     texts = found.dropDuplicates(["node"]).select("node", "text")
     links = checkpointed(verified(shared.join(texts, "node"), similarity, size).distinct())
     grouped = nodes.select("node", "least").join(components(links.unionByName(equal).unionByName(near)), "node", "left")
@@ -186,5 +193,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = SIZ
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, size: int = SIZE) -> DataFrame:
     """The rows of ``docs`` but for those whose component has a lesser doc_id; rows with a null doc_id all stay, and rows with equal ids stay or go together."""
     gone = unused(docs, "_gone")
-    ids = near_copies(docs, similarity, size).where("doc_id > component_id").select(F.col("doc_id").alias(gone)).distinct()
+    ids = checkpointed(near_copies(docs, similarity, size).where("doc_id > component_id").select(F.col("doc_id").alias(gone)).distinct())
+    if fits_broadcast(ids, MAX_BROADCAST_IDS):
+        ids = F.broadcast(ids)
     return docs.join(ids, F.col("doc_id") == F.col(gone), "left_anti")

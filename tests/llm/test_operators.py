@@ -635,7 +635,7 @@ def test_no_temporary_folder_on_a_cluster(spark, monkeypatch):
         shared.shared_folder(Session)
 
 
-def test_near_copies_at_their_resemblance(spark):
+def test_near_copies_at_their_resemblance(spark, monkeypatch):
     rng, size = random.Random(11), 5
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
     rows, wanted = [], {}
@@ -656,9 +656,11 @@ def test_near_copies_at_their_resemblance(spark):
     assert 40 <= sum(wanted.values()) <= 45
     rows += [(500, "one two", None, None, 1), (501, "One  two", None, None, 1), (None, rows[0][1], "aa", "s", 1), (502, None, None, None, None), (503, " ", None, None, 1)]
     rows += [(600, rows[4][1], "aa", "s", 1), (600, rows[6][1] + " end", "aa", "s", 1)]  # one id, two texts
-    kept = [r["doc_id"] for r in near_copies.deduplicated(spark.createDataFrame(rows, DOCS).repartition(5)).collect()]
     gone = {i for i, near in wanted.items() if near} | {501, 503, 600}
-    assert sorted(i for i in kept if i is not None) == sorted({r[0] for r in rows} - gone - {None}) and kept.count(None) == 1
+    for most in (near_copies.MAX_BROADCAST_IDS, 0):  # ids broadcast, texts shuffled to them
+        monkeypatch.setattr(near_copies, "MAX_BROADCAST_IDS", most)
+        kept = [r["doc_id"] for r in near_copies.deduplicated(spark.createDataFrame(rows, DOCS).repartition(5)).collect()]
+        assert sorted(i for i in kept if i is not None) == sorted({r[0] for r in rows} - gone - {None}) and kept.count(None) == 1
 
 
 def test_pipeline_stage_drops_edited_copies(spark):
