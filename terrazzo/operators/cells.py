@@ -1,8 +1,8 @@
 """Cells: aggregates of a target by zone, zone pair and zone triple, with shrinkage.
 
 All sums combine before the shuffle and cells are few, so a cell with most
-rows costs one row of each task. Order statistics (quantile, trimmed mean) go
-through one row for each distinct value of a cell.
+rows costs one row of each task. Order statistics (quantile, trimmed mean) are
+exact, but only values near the wanted rank are ordered.
 """
 
 from __future__ import annotations
@@ -12,16 +12,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import lookup
+
 FALLBACK_M = 10.0
 
 
 def zone_stats(df: DataFrame, zones: Sequence[str], y: str, weight: str | None = None) -> DataFrame:
     """For each combination of zones: n (sum of weights), mean and population variance of y."""
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
     target = F.col(y).cast("double")
-    sums = df.where(target.isNotNull()).groupBy(*zones).agg(F.sum(w).alias("n"), F.try_divide(F.sum(w * target), F.sum(w)).alias("mean"), F.sum(w * target * target).alias("_wyy"))
-    spread = F.greatest(F.coalesce(F.try_divide("_wyy", "n"), F.lit(0.0)) - F.col("mean") * F.col("mean"), F.lit(0.0))
-    return sums.withColumn("var", spread).drop("_wyy")
+    rows = df.where(target.isNotNull())
+    if weight is None:
+        return rows.groupBy(*zones).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(target).alias("mean"), F.var_pop(target).alias("var"))
+    # Squares are taken about the mean of all rows, so that a great mean does not swallow the variance.
+    w = F.col(weight).cast("double")
+    middle = rows.agg(F.coalesce(F.try_divide(F.sum(w * target), F.sum(w)), F.lit(0.0)).alias("_o"))
+    gap = target - F.col("_o")
+    sums = rows.crossJoin(F.broadcast(middle)).groupBy(*zones).agg(F.sum(w).alias("n"), F.first("_o").alias("_o"), F.try_divide(F.sum(w * gap), F.sum(w)).alias("_g"), F.try_divide(F.sum(w * gap * gap), F.sum(w)).alias("_gg"))
+    spread = F.greatest(F.coalesce(F.col("_gg") - F.col("_g") * F.col("_g"), F.lit(0.0)), F.lit(0.0))
+    return sums.select(*zones, "n", (F.col("_o") + F.col("_g")).alias("mean"), spread.alias("var"))
 
 
 def shrunk(n: Column, value: Column, prior: Column, m: Column | float) -> Column:
@@ -113,24 +121,68 @@ def batched_pair_scores(df: DataFrame, zones: Sequence[str], y: str) -> DataFram
     return cells.select("a", "b", "n", gap.alias("g")).groupBy("a", "b").agg((F.sum(F.col("n") * F.col("g") * F.col("g")) / F.sum("n")).alias("score"))
 
 
+#: Accuracy of the quantile sketch that brackets an order statistic, and half a bracket's width in units of its error.
+SKETCH, BRACKET = 50_000, 5
+
+
+def ranked(df: DataFrame, groups: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """groups, _v, _c, _s, _end, _n: exact ranks of the values around each share of each group; what lies between is one row without _v.
+
+    A sketch gives for each share a bracket that holds it for certain (its
+    error is 1 / ``SKETCH`` of the rows at most, a bracket reaches ``BRACKET``
+    times as far). Only values inside brackets are ordered one by one, one row
+    for each distinct value; groups of ``SKETCH`` rows at most are ordered
+    whole. _c and _s are count and sum, _end the rank of the last of them.
+    """
+    rows = df.select(*groups, F.col(value).cast("double").alias("_x"))
+    reach = BRACKET / SKETCH
+    probes = [min(max(s + d, 0.0), 1.0) for s in sorted(shares) for d in (-reach, reach)]
+    own = [f"_k{i}" for i in range(len(groups))]
+    state = rows.groupBy(*(F.col(g).alias(k) for g, k in zip(groups, own))).agg(F.count("_x").alias("_n"), F.percentile_approx("_x", probes, SKETCH).alias("_q"))
+    if groups:
+        same = F.lit(True)
+        for g, k in zip(groups, own):
+            same = same & F.col(g).eqNullSafe(F.col(k))
+        found = lookup(rows, state, same)
+    else:
+        found = rows.crossJoin(F.broadcast(state))  # one row
+    x = F.col("_x")
+    inside, run = F.col("_n") <= SKETCH, F.lit(0)
+    for i in range(len(shares)):
+        low, high = F.get("_q", F.lit(2 * i)), F.get("_q", F.lit(2 * i + 1))
+        inside, run = inside | x.between(low, high), run + F.when(x > high, 1).otherwise(0)
+    keys = [F.when(inside, x).alias("_v"), F.when(~F.coalesce(inside, F.lit(False)), run).alias("_run")]
+    by = list(groups) or [F.lit(0)]
+    counted = found.groupBy(*groups, *keys).agg(F.count("_x").alias("_c"), F.sum("_x").alias("_s"), F.min("_x").alias("_at"), F.max("_n").alias("_n"))
+    order = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counted.select(*groups, "_v", "_c", "_s", F.sum("_c").over(order).alias("_end"), "_n")
+
+
+def percentiles(df: DataFrame, groups: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """groups, q: the exact interpolated quantiles of the values in each group, in an array; null where a group has none."""
+    places = []
+    for share in shares:
+        at = (F.col("_n") - 1) * F.lit(float(share))
+        part = at - F.floor(at)
+        holds = lambda rank: (F.col("_end") - F.col("_c") <= rank) & (rank < F.col("_end"))
+        below = F.sum(F.when(holds(F.floor(at)), F.col("_v") * (1 - part)))
+        places.append(below + F.coalesce(F.sum(F.when((part > 0) & holds(F.ceil(at)), F.col("_v") * part)), F.lit(0.0)))
+    return ranked(df, groups, value, shares).groupBy(*groups).agg(F.array(*places).alias("q"))
+
+
 def zone_quantile(df: DataFrame, zone: str, y: str, q: float) -> DataFrame:
     """Exact interpolated quantile of y in each zone."""
-    return df.groupBy(zone).agg(F.percentile(y, F.lit(q)).alias("value"))
+    return percentiles(df, [zone], y, [q]).select(zone, F.get("q", F.lit(0)).alias("value"))
 
 
 def zone_trimmed_mean(df: DataFrame, zone: str, y: str, trim: float) -> DataFrame:
-    """Mean without the floor(trim * n) least and greatest values of each zone.
-
-    Works on one row for each distinct value of a zone with its count, so ties
-    are never ordered one by one.
-    """
-    values = df.where(F.col(y).isNotNull()).groupBy(zone, F.col(y).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    order = Window.partitionBy(zone).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = values.withColumn("_end", F.sum("_c").over(order)).withColumn("_n", F.sum("_c").over(Window.partitionBy(zone)))
+    """Mean without the floor(trim * n) least and greatest values of each zone; without values there is no zone."""
+    placed = ranked(df.where(F.col(y).isNotNull()), [zone], y, [trim, 1.0 - trim])
     k = F.floor(F.col("_n") * trim)
     k = F.when(2 * k >= F.col("_n"), F.lit(0)).otherwise(k)
     kept = F.greatest(F.lit(0), F.least(F.col("_end"), F.col("_n") - k) - F.greatest(F.col("_end") - F.col("_c"), k))
-    return placed.withColumn("_kept", kept).groupBy(zone).agg((F.sum(F.col("_kept") * F.col("_v")) / F.sum("_kept")).alias("value"))
+    # A run between brackets is kept or left out as a whole.
+    return placed.withColumn("_kept", kept).groupBy(zone).agg((F.sum(F.col("_kept") * F.col("_s") / F.col("_c")) / F.sum("_kept")).alias("value"))
 
 
 def out_of_fold(df: DataFrame, zone: str, y: str, fold: str, m: float = FALLBACK_M) -> DataFrame:

@@ -7,17 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cells import percentiles, ranked
+
 
 def order_statistic(df: DataFrame, score: str, alpha: float, groups: Sequence[str] = ()) -> DataFrame:
     """groups, n, margin: the k-th least score, k = min(ceil((n + 1)(1 - alpha)), n).
 
-    Found on one row for each distinct score with its count, so ties and hot
-    groups move little.
+    Only scores near that rank are ordered (`cells.ranked`), also in a hot group.
     """
-    values = df.where(F.col(score).isNotNull()).groupBy(*groups, F.col(score).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    by = list(groups) or [F.lit(0)]
-    order = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = values.withColumn("_end", F.sum("_c").over(order)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    placed = ranked(df.where(F.col(score).isNotNull()), groups, score, [1.0 - alpha])
     k = F.least(F.ceil((F.col("_n") + 1) * F.lit(1.0 - alpha) - 1e-9), F.col("_n"))
     return placed.where((F.col("_end") >= k) & (F.col("_end") - F.col("_c") < k)).select(*groups, F.col("_n").alias("n"), F.col("_v").alias("margin"))
 
@@ -121,7 +119,7 @@ def outside_range(x: Column, centers: Sequence[float]) -> Column:
 def boxplot(df: DataFrame, zone: str, x: str, valid: tuple[float, float] | None = None) -> DataFrame:
     """count, mean, median, quartiles, outliers (1.5 IQR) and invalid share of x in each zone."""
     value = F.col(x).cast("double")
-    q = df.groupBy(zone).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = percentiles(df, [zone], x, [0.25, 0.5, 0.75])
     fences = q.select(F.col(zone).alias("_z"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")).withColumn("iqr", F.col("q3") - F.col("q1"))
     rows = df.join(F.broadcast(fences), F.col(zone).eqNullSafe(F.col("_z")))  # one row for each zone
     far = (value < F.col("q1") - 1.5 * F.col("iqr")) | (value > F.col("q3") + 1.5 * F.col("iqr"))

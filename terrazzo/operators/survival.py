@@ -7,12 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cells import percentiles
+
 
 def breakpoints(df: DataFrame, duration: str, event: str, intervals: int) -> list[float]:
     """Quantiles of event durations, the first 0 and the last infinite; without events those of all durations."""
-    shares = F.array(*(F.lit(i / intervals) for i in range(intervals + 1)))
-    row = df.agg(F.percentile(F.when(F.col(event) == 1, F.col(duration)), shares).alias("e"), F.percentile(duration, shares).alias("a")).first()
-    found = sorted(set(row["e"] or row["a"] or []))
+    shares = [i / intervals for i in range(intervals + 1)]
+    found: list[float] = []
+    for rows in (df.where(F.col(event) == 1), df):
+        found = found or sorted({v for v in percentiles(rows, [], duration, shares).first()["q"] if v is not None})
     return [0.0, *found[1:-1], float("inf")] if len(found) >= 2 else [0.0, float("inf")]
 
 

@@ -15,17 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import array_literal, category_index, coreness, days, half_life_name, mahalanobis, zone_index
 from . import cells, zones
-
-#: Rows of a lookup table up to which it is broadcast.
-MAX_BROADCAST_ROWS = 200_000
-
-
-def _lookup(df: DataFrame, table: DataFrame, on: Column) -> DataFrame:
-    """Left join; broadcast only if the table's size has been checked."""
-    if table.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
-        table = F.broadcast(table)
-    return df.join(table, on, "left")
-
+from .joins import lookup as _lookup
 
 class ZoneProfile:
     """Mean, count and variance of a target in each zone of each column, shrunk by a learned m."""
@@ -168,41 +158,81 @@ class CategoricalDepth:
 
 
 class ConditionalGrid:
-    """Two-column cell statistics for each segment, with the pooled grid where a segment is too light."""
+    """Cell statistics of a target over two columns, cut anew for each segment; the pooled grid where a segment is too light or unseen.
 
-    def __init__(self, a: str, b: str, target: str, segment: str, cuts_a: Sequence[float] | None = None, cuts_b: Sequence[float] | None = None, least: float = 50.0, m: float = cells.FALLBACK_M, max_zones: int = 5):
-        self.a, self.b, self.target, self.segment, self.least, self.m, self.max_zones = a, b, target, segment, least, m, max_zones
+    A segment is a combination of values of one or more columns (null is a
+    value of its own). Each one with a weight of ``least`` has its own cuts of
+    both columns and its own shrinkage, learned where ``m`` is None. Cuts that
+    are given hold for all segments.
+    """
+
+    def __init__(self, a: str, b: str, target: str, segment: str | Sequence[str], cuts_a: Sequence[float] | None = None, cuts_b: Sequence[float] | None = None, least: float = 50.0, m: float | None = None, max_zones: int = zones.MAX_ZONES, weight: str | None = None, criterion: str = "variance"):
+        if a == b:
+            raise ValueError("a grid needs two different columns")
+        self.a, self.b, self.target, self.weight = a, b, target, weight
+        self.segment = [segment] if isinstance(segment, str) else list(segment)
+        self.least, self.m, self.max_zones, self.criterion = least, m, max_zones, criterion
         self.cuts = {a: cuts_a, b: cuts_b}
 
+    def _key(self) -> Column:
+        return F.to_json(F.struct(*(F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(self.segment))))
+
+    def _zone(self, x: Column, own: str, pooled: Sequence[float]) -> Column:
+        cuts = F.coalesce(F.col(own), array_literal(pooled))
+        return F.when(x.isNull(), F.size(cuts) + 1).otherwise(F.size(F.filter(cuts, lambda c: c <= x)))
+
     def fit(self, df: DataFrame) -> ConditionalGrid:
-        for c in (self.a, self.b):
-            if self.cuts[c] is None:
-                self.cuts[c] = zones.adaptive_cuts(df, c, self.target, max_zones=self.max_zones)
-        za, zb = (zone_index(F.col(c).cast("double"), self.cuts[c]) for c in (self.a, self.b))
-        keyed = df.select(F.col(self.segment).cast("string").alias("_s"), za.alias("_za"), zb.alias("_zb"), F.col(self.target).cast("double").alias("_y"))
-        fine = cells.zone_stats(keyed, ["_s", "_za", "_zb"], "_y")
-        weigh = fine.groupBy("_s").agg(F.sum("n").alias("_w"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_o"))
-        own = fine.join(weigh.withColumnRenamed("_s", "_t"), F.expr("_s <=> _t")).where(F.col("_w") >= self.least)
-        self.segments = own.select("_s", "_za", "_zb", cells.shrunk(F.col("n"), F.col("mean"), F.col("_o"), self.m).alias("_mean"), F.col("n").alias("_n"), F.col("var").alias("_var"))
-        self.heavy = weigh.where(F.col("_w") >= self.least).select(F.col("_s").alias("_h"), F.col("_o").alias("_ho"))
-        pooled = cells.zone_stats(keyed, ["_za", "_zb"], "_y")
-        overall = pooled.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_o"))
-        self.pooled = pooled.crossJoin(F.broadcast(overall)).select(F.col("_za").alias("_pa"), F.col("_zb").alias("_pb"), cells.shrunk(F.col("n"), F.col("mean"), F.col("_o"), self.m).alias("_pmean"), F.col("n").alias("_pn"), F.col("var").alias("_pvar"))
-        self.overall = overall.first()[0]
+        w, weight = (F.col(self.weight).cast("double") if self.weight else F.lit(1.0)), "_w" if self.weight else None
+        double = lambda c: F.col(c).cast("double")
+        rows = df.where(double(self.target).isNotNull()).select(self._key().alias("_s"), double(self.a).alias("_a"), double(self.b).alias("_b"), double(self.target).alias("_y"), w.alias("_w"))
+        mean = F.try_divide(F.sum(F.col("_w") * F.col("_y")), F.sum("_w"))
+        self.overall = rows.agg(mean).first()[0]
+        segments = rows.groupBy(F.col("_s").alias("_k")).agg(F.sum("_w").alias("_kw"), mean.alias("_o")).where(F.col("_kw") >= self.least).drop("_kw")
+        self.pooled = {}
+        for c, x, own in ((self.a, "_a", "_ca"), (self.b, "_b", "_cb")):
+            if self.cuts[c] is not None:
+                self.pooled[c] = sorted(map(float, self.cuts[c]))
+                segments = segments.withColumn(own, F.lit(None).cast("array<double>"))
+                continue
+            self.pooled[c] = zones.adaptive_cuts(rows, x, "_y", weight, self.max_zones, criterion=self.criterion)
+            cut = zones.segment_cuts(rows, "_s", x, "_y", weight, self.max_zones, criterion=self.criterion)
+            # A segment without any value of the column has no cuts, not the pooled ones.
+            segments = segments.join(cut.select(F.col("segment").alias("_j"), F.col("cuts").alias(own)), F.expr("_k = _j"), "left").drop("_j").withColumn(own, F.coalesce(own, F.array().cast("array<double>")))
+        self.segments = segments.persist()
+        zoned = self._zoned(rows, F.col("_s"), F.col("_a"), F.col("_b")).where("_k is not null")
+        everything = rows.withColumns({"_g": F.lit(""), "_za": zone_index(F.col("_a"), self.pooled[self.a]), "_zb": zone_index(F.col("_b"), self.pooled[self.b])})
+        stats = cells.zone_stats(zoned, ["_g", "_za", "_zb"], "_y", weight).unionByName(cells.zone_stats(everything, ["_g", "_za", "_zb"], "_y", weight))
+        self.table = self._shrunk(stats).persist()
         return self
 
+    def _zoned(self, df: DataFrame, key: Column, a: Column, b: Column) -> DataFrame:
+        """``df`` with its grid (the segment's key, or the empty text for the pooled one) and zones _g, _za, _zb; _k and _o stay."""
+        found = _lookup(df.withColumn("_r", key), self.segments, F.expr("_r = _k"))
+        found = found.withColumns({"_g": F.coalesce(F.col("_k"), F.lit("")), "_za": self._zone(a, "_ca", self.pooled[self.a]), "_zb": self._zone(b, "_cb", self.pooled[self.b])})
+        return found.drop("_r", "_ca", "_cb")
+
+    def _shrunk(self, stats: DataFrame) -> DataFrame:
+        """Cells with their means shrunk to their grid's; windows run over the cells of one grid."""
+        grid = Window.partitionBy("_g")
+        n = F.sum("n").over(grid)
+        placed = stats.withColumns({"_gn": n, "_go": F.try_divide(F.sum(F.col("n") * F.col("mean")).over(grid), n), "_gk": F.count(F.lit(1)).over(grid), "_gnn": F.sum(F.col("n") * F.col("n")).over(grid)})
+        gap = F.col("n") * (F.col("mean") - F.col("_go")) ** 2
+        placed = placed.withColumns({"_gq": F.sum(gap).over(grid), "_gv": F.try_divide(F.sum(F.col("n") * F.col("var") + gap).over(grid), F.col("_gn"))})
+        m = F.lit(float(self.m)) if self.m is not None else F.lit(None).cast("double")
+        if self.m is None:
+            spare = F.col("_gn") - F.try_divide(F.col("_gnn"), F.col("_gn"))
+            between = F.try_divide(F.try_divide(F.col("_gq"), F.col("_gv")) - (F.col("_gk") - 1), F.try_divide(spare, F.col("_gv")))
+            usable = (F.col("_gk") > 1) & (F.col("_gv") > 0) & (spare > 0) & (between > 0)
+            m = F.when(usable, F.try_divide(F.col("_gv"), between)).otherwise(F.lit(cells.FALLBACK_M))
+        return placed.select(F.col("_g").alias("_h"), F.col("_za").alias("_ha"), F.col("_zb").alias("_hb"), cells.shrunk(F.col("n"), F.col("mean"), F.col("_go"), m).alias("_mean"), F.col("n").alias("_n"), F.col("var").alias("_var"))
+
     def transform(self, df: DataFrame) -> DataFrame:
-        za, zb = (zone_index(F.col(c).cast("double"), self.cuts[c]) for c in (self.a, self.b))
-        row = df.withColumns({"_ra": za, "_rb": zb, "_rs": F.col(self.segment).cast("string")})
-        row = _lookup(row, self.heavy, F.expr("_rs <=> _h"))
-        row = _lookup(row, self.segments, F.expr("_rs <=> _s and _ra = _za and _rb = _zb"))
-        row = _lookup(row, self.pooled, F.expr("_ra = _pa and _rb = _pb"))
-        used = F.col("_ho").isNotNull()
-        pick = lambda own, all_, empty_own, empty: F.when(used, F.coalesce(F.col(own), empty_own)).otherwise(F.coalesce(F.col(all_), empty))
-        zero = F.lit(0.0)
-        name = f"{self.a}_{self.b}"
-        out = row.withColumns({f"{name}__cell_mean": pick("_mean", "_pmean", F.col("_ho"), F.lit(self.overall)), f"{name}__cell_count": pick("_n", "_pn", zero, zero), f"{name}__cell_var": pick("_var", "_pvar", zero, zero), f"{name}__used_segment_grid": used})
-        return out.drop("_ra", "_rb", "_rs", "_h", "_ho", "_s", "_za", "_zb", "_mean", "_n", "_var", "_pa", "_pb", "_pmean", "_pn", "_pvar")
+        row = self._zoned(df, self._key(), F.col(self.a).cast("double"), F.col(self.b).cast("double"))
+        row = _lookup(row, self.table, F.expr("_g = _h and _za = _ha and _zb = _hb"))
+        name, zero = f"{self.a}_{self.b}", F.lit(0.0)
+        empty = F.coalesce(F.col("_o"), F.lit(self.overall))
+        out = row.withColumns({f"{name}__cell_mean": F.coalesce(F.col("_mean"), empty), f"{name}__cell_count": F.coalesce(F.col("_n"), zero), f"{name}__cell_var": F.coalesce(F.col("_var"), zero), f"{name}__used_segment_grid": F.col("_k").isNotNull()})
+        return out.drop("_k", "_o", "_g", "_za", "_zb", "_h", "_ha", "_hb", "_mean", "_n", "_var")
 
 
 class DecayedHistory:

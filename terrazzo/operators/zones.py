@@ -13,10 +13,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import zone_index
+from .joins import lookup
 
 MAX_BINS = 1024
 MAX_ZONES = 7
@@ -45,13 +46,14 @@ def bin_edges(df: DataFrame, x: str, bins: int = MAX_BINS) -> list[float] | None
     return sorted(set(df.select(F.percentile_approx(x, shares, 100 * bins).alias("q")).first()["q"]))
 
 
-def histogram_table(df: DataFrame, x: str, y: str, weight: str | None = None, edges: Sequence[float] | None = None) -> DataFrame:
-    """One row for each distinct x, or each bin between the edges: w, wy, wx, wxx, wxy, low, high."""
+def histogram_table(df: DataFrame, x: str, y: str, weight: str | None = None, edges: Sequence[float] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """One row for each distinct x, each bin between the edges, or each combination of the columns ``by``: w, wy, wx, wxx, wxy, low, high."""
     value, target = F.col(x).cast("double"), F.col(y).cast("double")
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     key = value if edges is None else zone_index(value, edges).cast("double")
     sums = {"w": w, "wy": w * target, "wx": w * value, "wxx": w * value * value, "wxy": w * value * target}
-    return df.where(value.isNotNull()).groupBy(key.alias("bin")).agg(*(F.sum(e).alias(n) for n, e in sums.items()), F.min(value).alias("low"), F.max(value).alias("high"))
+    keys = [F.col(c) for c in by] or [key.alias("bin")]
+    return df.where(value.isNotNull()).groupBy(*keys).agg(*(F.sum(e).alias(n) for n, e in sums.items()), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
 def histogram(df: DataFrame, x: str, y: str, weight: str | None = None, edges: Sequence[float] | None = None) -> Histogram:
@@ -123,6 +125,42 @@ def adaptive_cuts(df: DataFrame, x: str, y: str, weight: str | None = None, max_
     return greedy_cuts(histogram(df, x, y, weight, bin_edges(df, x)), max_zones, min_share, min_rows, criterion)
 
 
+#: Rows of edges (8 KB each) up to which they are broadcast.
+MAX_EDGE_ROWS = 4_000
+
+
+def segment_cuts(df: DataFrame, segment: str, x: str, y: str, weight: str | None = None, max_zones: int = MAX_ZONES, min_share: float = MIN_SHARE, min_rows: float = MIN_ROWS, criterion: str = "variance") -> DataFrame:
+    """segment, cuts: the cuts `adaptive_cuts` finds in each segment's own rows, for all segments at once.
+
+    A segment's values are bins of their own, or, where they are more than
+    ``MAX_BINS`` (by a distinct count within 2 %), fall into that many
+    quantile bins of the segment. One task sees a segment's bins, never its
+    rows. Segments without a value of x have no row.
+    """
+    value = F.col(x).cast("double")
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = df.select(F.col(segment).alias("_s"), value.alias("_x"), F.col(y).cast("double").alias("_y"), w.alias("_w")).where("_x is not null")
+    shares, side = [i / MAX_BINS for i in range(1, MAX_BINS)], 32
+    crowded = rows.groupBy(F.col("_s").alias("_e")).agg(F.approx_count_distinct("_x", 0.02).alias("_d"), F.percentile_approx("_x", shares, 100 * MAX_BINS).alias("_q")).where(F.col("_d") > MAX_BINS)
+    edges = F.array_sort(F.array_distinct("_q"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / side).cast("int")), lambda i: F.slice(edges, i * side + 1, side))
+    crowded = crowded.select("_e", blocks.alias("_blocks")).withColumn("_firsts", F.transform("_blocks", lambda b: b[0]))
+    found = lookup(rows, crowded, F.expr("_s <=> _e"), MAX_EDGE_ROWS)
+    block = F.size(F.filter("_firsts", lambda e: e <= F.col("_x")))
+    inner = F.size(F.filter(F.get("_blocks", block - 1), lambda e: e <= F.col("_x")))
+    place = F.when(F.col("_blocks").isNull(), F.col("_x")).when(block == 0, F.lit(0.0)).otherwise(((block - 1) * side + inner).cast("double"))
+    binned = histogram_table(found.withColumn("_bin", place), "_x", "_y", "_w", by=["_s", "_bin"])
+
+    def cuts(frame):
+        import pandas as pd
+
+        frame = frame.sort_values("low")
+        h = Histogram(*(frame[n].to_numpy(dtype=float) for n in ("w", "wy", "wx", "low", "high", "wxx", "wxy")))
+        return pd.DataFrame({"segment": frame["_s"].iloc[:1].tolist(), "cuts": [greedy_cuts(h, max_zones, min_share, min_rows, criterion)]})
+
+    return binned.groupBy("_s").applyInPandas(cuts, f"segment {df.schema[segment].dataType.simpleString()}, cuts array<double>")
+
+
 def best_cut_table(df: DataFrame, x: str, y: str, min_share: float = MIN_SHARE, min_rows: int = MIN_ROWS) -> DataFrame:
     """The first cut as a plan of its own: cut and its share of the sum of squares."""
     table = histogram_table(df, x, y)
@@ -156,9 +194,7 @@ def categories(df: DataFrame, x: str, most: int = 10_000) -> list[str]:
 
 def quantile_bins(df: DataFrame, x: str, bins: int) -> list[float]:
     """Inner edges of quantile bins, repeated ones dropped; for `zone_index`."""
-    edges = df.select(F.percentile(x, F.array(*(F.lit(i / bins) for i in range(bins + 1)))).alias("q")).first()["q"]
-    return sorted(set(edges or []))[1:-1]
-
+    from .cells import percentiles
 
-def zoned(df: DataFrame, zones: dict[str, Column]) -> DataFrame:
-    return df.withColumns({name: z for name, z in zones.items()})
+    edges = percentiles(df, [], x, [i / bins for i in range(bins + 1)]).first()["q"]
+    return sorted({e for e in edges if e is not None})[1:-1]

@@ -307,12 +307,29 @@ w as (select s, count(*) w, avg(y) o from j group by 1), c as (select s, za, zb,
 select c.s segment, za, zb, n::double count, round((n*m+10*o)/(n+10), 4) mean from c join w using (s) where w >= 50""")
 def conditional_zone_grid(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey")).select("o_orderpriority", "l_discount", "l_tax", F.expr(TARGET).alias("y"))
-    grid = transformers.ConditionalGrid("l_discount", "l_tax", "y", "o_orderpriority", DISCOUNT_CUTS, (0.03, 0.06)).fit(df)
+    grid = transformers.ConditionalGrid("l_discount", "l_tax", "y", "o_orderpriority", DISCOUNT_CUTS, (0.03, 0.06), m=cells.FALLBACK_M).fit(df)
     out = grid.transform(df.select("o_orderpriority", "l_discount", "l_tax").distinct()).where("l_discount_l_tax__used_segment_grid")
     za, zb = scalar.zone_index(F.col("l_discount"), DISCOUNT_CUTS), scalar.zone_index(F.col("l_tax"), (0.03, 0.06))
     return out.select(F.col("o_orderpriority").alias("segment"), za.alias("za"), zb.alias("zb"), F.col("l_discount_l_tax__cell_count").alias("count"), r(F.col("l_discount_l_tax__cell_mean"), 4).alias("mean")).distinct()
 
 
+@query(f"""with j as (select o_orderpriority s, l_discount a, l_tax b, {TARGET} y from lineitem join orders on l_orderkey = o_orderkey), p as (select * from j union all select 'none', a, b, y from j),
+u as (select s, 'a' c, a x, y from p union all select s, 'b', b, y from p), h as (select s, c, x, count(*) n, sum(y) t from u where x is not null group by 1, 2, 3),
+k as (select *, sum(n) over w ln, sum(t) over w lt, sum(n) over q nn, sum(t) over q tt, lead(x) over w nx from h window w as (partition by s, c order by x), q as (partition by s, c)),
+g as (select s, c, (x+nx)/2 cut, lt*lt/ln + (tt-lt)*(tt-lt)/(nn-ln) - tt*tt/nn gain, row_number() over (partition by s, c order by lt*lt/ln + (tt-lt)*(tt-lt)/(nn-ln) desc, x) r from k where nx is not null and least(ln, nn-ln) >= greatest(20, floor(nn*0.02))),
+cuts as (select s, max(case when c = 'a' then cut end) ca, max(case when c = 'b' then cut end) cb from g where r = 1 and gain > 0 group by 1),
+z as (select s, a >= ca za, b >= cb zb, y from p join cuts using (s)), o as (select s, avg(y) o, var_pop(y) v from z group by 1), c as (select s, za, zb, count(*) n, avg(y) m from z group by 1, 2, 3),
+e as (select s, o, v, count(*) k, sum(n) nn, sum(n*n) n2, sum(n*(m-o)*(m-o)) q from c join o using (s) group by 1, 2, 3), f as (select s, o, coalesce(v/nullif(greatest(0, (q/v-(k-1))/((nn-n2/nn)/v)), 0), 10) m0 from e)
+select distinct s segment, n::double count, round((n*m+m0*o)/(n+m0), 4) mean, s <> 'none' own from c join f using (s)""")
+def conditional_grid_own_cuts(spark, sf_dir):
+    """Cuts and shrinkage of each segment's own; rows of a segment never seen take the pooled grid."""
+    df = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey")).select("o_orderpriority", "l_discount", "l_tax", F.expr(TARGET).alias("y"))
+    grid = transformers.ConditionalGrid("l_discount", "l_tax", "y", "o_orderpriority", max_zones=2).fit(df)
+    seen = df.select("o_orderpriority", "l_discount", "l_tax").distinct()
+    out = grid.transform(seen.unionByName(seen.withColumn("o_orderpriority", F.lit("none"))))
+    return out.select(F.col("o_orderpriority").alias("segment"), F.col("l_discount_l_tax__cell_count").alias("count"), r(F.col("l_discount_l_tax__cell_mean"), 4).alias("mean"), F.col("l_discount_l_tax__used_segment_grid").alias("own")).distinct()
+
+
 @query("""with a as (select user_id, min(ts) + interval 10 day as "at" from events group by 1 union all select user_id, max(ts) from events group by 1),
 e as (select user_id, ts, value from events where event_type = 'purchase'), d as (select distinct * from a)
 select d.user_id, d."at", count(e.ts) > 0 had, round(coalesce(sum(exp(-ln(2.0)*((epoch_us(d."at")-epoch_us(e.ts))/86400e6)/7)), 0), 6) cnt7, round(coalesce(sum(coalesce(e.value,0)*exp(-ln(2.0)*((epoch_us(d."at")-epoch_us(e.ts))/86400e6)/7)), 0), 4) sum7,

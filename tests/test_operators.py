@@ -184,3 +184,67 @@ def test_splines_find_a_kink(spark):
     df = spark.range(2000).select(((F.col("id") - 1000) / 100.0).alias("x")).withColumn("y", F.when(F.col("x") < 0, -2 * F.col("x")).otherwise(3 * F.col("x")))
     intercept, slope, bends = cells.fit_spline(df, "x", "y", [0.0])
     assert (intercept, slope, bends[0]) == pytest.approx((0.0, -2.0, 5.0), abs=0.1)
+
+
+def test_order_statistics_are_exact_beyond_the_sketch(spark, monkeypatch):
+    monkeypatch.setattr(cells, "SKETCH", 200)
+    rng = np.random.default_rng(5)
+    data = {"hot": rng.normal(size=20_000), "tied": np.floor(rng.exponential(size=3_000) * 4), "few": rng.normal(size=7), "one": np.array([2.5])}
+    rows = [(g, float(v)) for g, vs in data.items() for v in vs] + [("hot", None), ("empty", None), (None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    data[None] = np.array([4.0])
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = dict(values(cells.percentiles(df, ["g"], "v", shares), "g", "q"))
+    assert got.pop("empty") == [None] * 5 and set(got) == set(data)
+    for g, vs in data.items():
+        assert got[g] == pytest.approx(np.quantile(vs, shares).tolist(), abs=1e-12), g
+    whole = np.concatenate(list(data.values()))
+    assert values(cells.percentiles(df, [], "v", shares), "q")[0] == pytest.approx(np.quantile(whole, shares).tolist(), abs=1e-12)
+    assert values(cells.percentiles(df.limit(0), [], "v", [0.5]), "q") == [[None]]
+    for alpha in (0.0, 0.1, 0.999):
+        for r in diagnostics.order_statistic(df, "v", alpha, ["g"]).collect():
+            vs = np.sort(data[r["g"]])
+            k = min(int(np.ceil((len(vs) + 1) * (1 - alpha) - 1e-9)), len(vs))
+            assert (r["n"], r["margin"]) == (len(vs), vs[k - 1]), (alpha, r["g"])
+    for trim in (0.0, 0.3):
+        for g, v in values(cells.zone_trimmed_mean(df, "g", "v", trim), "g", "value"):
+            vs = np.sort(data[g])
+            k = int(np.floor(len(vs) * trim))
+            assert v == pytest.approx(vs[k : len(vs) - k].mean()), (trim, g)
+    # Only values near the ranks are ordered.
+    assert cells.ranked(df, ["g"], "v", [0.5]).where("g = 'hot'").count() < 20_000 * 0.06
+
+
+def test_variance_of_cells_with_a_great_mean(spark):
+    df = spark.range(4000).select((F.col("id") % 2).alias("z"), (F.lit(1e9) + (F.col("id") % 4)).alias("y"), F.lit(2.0).alias("w"))
+    for weight in (None, "w"):
+        assert {round(v, 6) for v in values(cells.zone_stats(df, ["z"], "y", weight), "var")} == {1.0}
+    assert cells.zone_stats(df.limit(0), ["z"], "y", "w").count() == 0
+
+
+def test_segments_have_their_own_cuts(spark):
+    """Each segment's cuts, counts and means are those of a grid fitted on its rows alone."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for s, step, n in (("p", 0.3, 3000), ("q", 0.8, 1500), (None, 0.5, 400), ("light", 0.5, 20)):
+        a, b = rng.random(n), rng.integers(0, 4, n) / 4
+        rows += [(s, float(u) if i % 11 else None, float(v), float((u > step) * 5 + v)) for i, (u, v) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "s string, a double, b double, y double").repartition(6)
+    cuts = dict(values(zones.segment_cuts(df, "s", "a", "y", max_zones=2), "segment", "cuts"))
+    assert cuts["light"] == [] and cuts["p"][0] == pytest.approx(0.3, abs=0.01) and cuts["q"][0] == pytest.approx(0.8, abs=0.01) and cuts[None][0] == pytest.approx(0.5, abs=0.02)
+    grid = transformers.ConditionalGrid("a", "b", "y", ["s"], max_zones=3).fit(df)
+    out = grid.transform(df.withColumn("extra", F.lit(1))).cache()
+    assert out.count() == len(rows) and out.columns[:5] == ["s", "a", "b", "y", "extra"]
+    for s in ("p", "q", None):
+        own = df.where(F.col("s").eqNullSafe(F.lit(s)))
+        alone = transformers.ConditionalGrid("a", "b", "y", "s", max_zones=3, least=1e9).fit(own).transform(own)
+        names = ("a", "b", "a_b__cell_mean", "a_b__cell_count", "a_b__cell_var")
+        key = lambda r: tuple((x is None, x or 0.0) for x in r)
+        got, want = (sorted(values(d.where(F.col("s").eqNullSafe(F.lit(s))), *names), key=key) for d in (out, alone))
+        assert np.allclose(np.array(got, dtype=float), np.array(want, dtype=float), equal_nan=True), s
+        assert set(values(out.where(F.col("s").eqNullSafe(F.lit(s))), "a_b__used_segment_grid")) == {True}
+    assert set(values(out.where("s = 'light'"), "a_b__used_segment_grid")) == {False}
+    pooled = transformers.ConditionalGrid("a", "b", "y", "s", max_zones=3, least=1e9).fit(df).transform(df.where("s = 'light'"))
+    assert np.allclose(*(sorted(values(d, "y", "a_b__cell_mean")) for d in (pooled, out.where("s = 'light'"))))
+    with pytest.raises(ValueError):
+        transformers.ConditionalGrid("a", "a", "y", "s")
