@@ -12,8 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import lookup
-
 FALLBACK_M = 10.0
 
 
@@ -122,7 +120,9 @@ def batched_pair_scores(df: DataFrame, zones: Sequence[str], y: str) -> DataFram
 
 
 #: Accuracy of the quantile sketch that brackets an order statistic, and half a bracket's width in units of its error.
-SKETCH, BRACKET = 50_000, 5
+SKETCH, BRACKET = 10_000, 5
+#: Groups up to which the brackets are gathered and broadcast.
+MAX_BRACKETS = 20_000
 
 
 def ranked(df: DataFrame, groups: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
@@ -139,13 +139,13 @@ def ranked(df: DataFrame, groups: Sequence[str], value: str, shares: Sequence[fl
     probes = [min(max(s + d, 0.0), 1.0) for s in sorted(shares) for d in (-reach, reach)]
     own = [f"_k{i}" for i in range(len(groups))]
     state = rows.groupBy(*(F.col(g).alias(k) for g, k in zip(groups, own))).agg(F.count("_x").alias("_n"), F.percentile_approx("_x", probes, SKETCH).alias("_q"))
-    if groups:
-        same = F.lit(True)
-        for g, k in zip(groups, own):
-            same = same & F.col(g).eqNullSafe(F.col(k))
-        found = lookup(rows, state, same)
-    else:
-        found = rows.crossJoin(F.broadcast(state))  # one row
+    known = state.limit(MAX_BRACKETS + 1).collect()
+    if len(known) <= MAX_BRACKETS:
+        state = F.broadcast(df.sparkSession.createDataFrame(known, state.schema))
+    same = F.lit(True)
+    for g, k in zip(groups, own):
+        same = same & F.col(g).eqNullSafe(F.col(k))
+    found = rows.join(state, same) if groups else rows.crossJoin(state)
     x = F.col("_x")
     inside, run = F.col("_n") <= SKETCH, F.lit(0)
     for i in range(len(shares)):

@@ -185,24 +185,30 @@ class ConditionalGrid:
         w, weight = (F.col(self.weight).cast("double") if self.weight else F.lit(1.0)), "_w" if self.weight else None
         double = lambda c: F.col(c).cast("double")
         rows = df.where(double(self.target).isNotNull()).select(self._key().alias("_s"), double(self.a).alias("_a"), double(self.b).alias("_b"), double(self.target).alias("_y"), w.alias("_w"))
-        mean = F.try_divide(F.sum(F.col("_w") * F.col("_y")), F.sum("_w"))
-        self.overall = rows.agg(mean).first()[0]
-        segments = rows.groupBy(F.col("_s").alias("_k")).agg(F.sum("_w").alias("_kw"), mean.alias("_o")).where(F.col("_kw") >= self.least).drop("_kw")
-        self.pooled = {}
-        for c, x, own in ((self.a, "_a", "_ca"), (self.b, "_b", "_cb")):
+        weigh = rows.groupBy(F.col("_s").alias("_k")).agg(F.sum("_w").alias("_kw"), F.try_divide(F.sum(F.col("_w") * F.col("_y")), F.sum("_w")).alias("_o")).persist()  # one row for each segment
+        self.overall = weigh.agg(F.try_divide(F.sum(F.col("_kw") * F.col("_o")), F.sum("_kw"))).first()[0]
+        segments = weigh.where(F.col("_kw") >= self.least).drop("_kw")
+        sides = [(self.a, "_a", "_ca"), (self.b, "_b", "_cb")]
+        self.pooled = {c: sorted(map(float, self.cuts[c])) for c, _, _ in sides if self.cuts[c] is not None}
+        wanted = [(c, x) for c, x, _ in sides if c not in self.pooled]
+        if wanted:
+            # Both columns of every segment, and of all rows under the empty key, in one pass.
+            packed = F.array(*(F.struct(F.concat(F.lit(x), key).alias("_g"), F.col(x).alias("_x")) for _, x in wanted for key in (F.col("_s"), F.lit(""))))
+            found = zones.segment_cuts(rows.select(F.explode(packed).alias("_e"), "_y", "_w").select("_e.*", "_y", "_w"), "_g", "_x", "_y", weight, self.max_zones, criterion=self.criterion).persist()
+            everywhere = {r["segment"]: r["cuts"] for r in found.where(F.col("segment").isin([x for _, x in wanted])).collect()}
+            self.pooled.update({c: everywhere.get(x, []) for c, x in wanted})
+        for c, x, own in sides:
             if self.cuts[c] is not None:
-                self.pooled[c] = sorted(map(float, self.cuts[c]))
                 segments = segments.withColumn(own, F.lit(None).cast("array<double>"))
                 continue
-            self.pooled[c] = zones.adaptive_cuts(rows, x, "_y", weight, self.max_zones, criterion=self.criterion)
-            cut = zones.segment_cuts(rows, "_s", x, "_y", weight, self.max_zones, criterion=self.criterion)
             # A segment without any value of the column has no cuts, not the pooled ones.
-            segments = segments.join(cut.select(F.col("segment").alias("_j"), F.col("cuts").alias(own)), F.expr("_k = _j"), "left").drop("_j").withColumn(own, F.coalesce(own, F.array().cast("array<double>")))
+            cut = found.select(F.col("segment").alias("_j"), F.col("cuts").alias(own))
+            segments = segments.join(cut, F.concat(F.lit(x), F.col("_k")) == F.col("_j"), "left").drop("_j").withColumn(own, F.coalesce(own, F.array().cast("array<double>")))
         self.segments = segments.persist()
-        zoned = self._zoned(rows, F.col("_s"), F.col("_a"), F.col("_b")).where("_k is not null")
-        everything = rows.withColumns({"_g": F.lit(""), "_za": zone_index(F.col("_a"), self.pooled[self.a]), "_zb": zone_index(F.col("_b"), self.pooled[self.b])})
-        stats = cells.zone_stats(zoned, ["_g", "_za", "_zb"], "_y", weight).unionByName(cells.zone_stats(everything, ["_g", "_za", "_zb"], "_y", weight))
-        self.table = self._shrunk(stats).persist()
+        own = self._zoned(rows, F.col("_s"), F.col("_a"), F.col("_b"))
+        grids = F.array(F.struct(F.col("_k").alias("_g"), "_za", "_zb"), F.struct(F.lit("").alias("_g"), zone_index(F.col("_a"), self.pooled[self.a]).alias("_za"), zone_index(F.col("_b"), self.pooled[self.b]).alias("_zb")))
+        both = own.select(F.explode(grids).alias("_e"), "_y", "_w").select("_e.*", "_y", "_w").where("_g is not null")
+        self.table = self._shrunk(cells.zone_stats(both, ["_g", "_za", "_zb"], "_y", weight)).persist()
         return self
 
     def _zoned(self, df: DataFrame, key: Column, a: Column, b: Column) -> DataFrame:

@@ -144,7 +144,7 @@ def segment_cuts(df: DataFrame, segment: str, x: str, y: str, weight: str | None
     crowded = rows.groupBy(F.col("_s").alias("_e")).agg(F.approx_count_distinct("_x", 0.02).alias("_d"), F.percentile_approx("_x", shares, 100 * MAX_BINS).alias("_q")).where(F.col("_d") > MAX_BINS)
     edges = F.array_sort(F.array_distinct("_q"))
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / side).cast("int")), lambda i: F.slice(edges, i * side + 1, side))
-    crowded = crowded.select("_e", blocks.alias("_blocks")).withColumn("_firsts", F.transform("_blocks", lambda b: b[0]))
+    crowded = crowded.select("_e", blocks.alias("_blocks")).withColumn("_firsts", F.transform("_blocks", lambda b: b[0])).persist()  # few and small, used twice
     found = lookup(rows, crowded, F.expr("_s <=> _e"), MAX_EDGE_ROWS)
     block = F.size(F.filter("_firsts", lambda e: e <= F.col("_x")))
     inner = F.size(F.filter(F.get("_blocks", block - 1), lambda e: e <= F.col("_x")))
