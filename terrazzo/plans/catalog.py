@@ -382,10 +382,9 @@ def cumulative_hazard(spark, sf_dir):
     return gaps(spark, sf_dir).select(h.alias("h")).agg(r(F.avg("h")).alias("hazard"), r(F.avg(survival.survival_curve(F.col("h")))).alias("survival"))
 
 
-@query(f"with {_GAPS}, p as (select row_number() over () id, ceil(d) d, e, floor(value) r from g where value is not null) select round(sum(case when a.r > b.r then 1.0 when a.r = b.r then 0.5 else 0 end)/count(*), 8) c_index from p a join p b on a.e = 1 and (b.d > a.d or (b.d = a.d and b.e = 1 and a.id <> b.id))")
+@query(f"with {_GAPS}, p as (select row_number() over () id, d, e, value r from g where value is not null) select round(sum(case when a.r > b.r then 1.0 when a.r = b.r then 0.5 else 0 end)/count(*), 8) c_index from p a join p b on a.e = 1 and (b.d > a.d or (b.d = a.d and b.e = 1 and a.id <> b.id))")
 def concordance_index(spark, sf_dir):
-    df = gaps(spark, sf_dir).select(F.ceil("d").alias("d"), "e", F.floor("value").alias("r"))
-    return survival.concordance(df, "d", "e", "r").select(r(F.col("c_index"), 8).alias("c_index"))
+    return survival.concordance(gaps(spark, sf_dir), "d", "e", "value").select(r(F.col("c_index"), 8).alias("c_index"))
 
 
 # Losses

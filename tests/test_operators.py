@@ -103,6 +103,19 @@ def test_breakpoints_and_concordance(spark):
     assert survival.concordance(df.limit(0), "d", "e", "r").first()[0] is None
 
 
+def test_concordance_is_that_of_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(d), int(e), float(x)) for d, e, x in zip(rng.integers(1, 60, 500), rng.random(500) < 0.6, rng.normal(size=500).round(1))]
+    rows += [(30.0, 1, float(x)) for x in rng.normal(size=300)] + [(float(d), 1, 0.5) for d in rng.random(300) * 60]  # a time and a risk with many rows
+    d, e, x = (np.array(c) for c in zip(*rows))
+    counts = (e[:, None] == 1) & ((d[None] > d[:, None]) | ((d[None] == d[:, None]) & (e[None] == 1))) & ~np.eye(len(d), dtype=bool)
+    won = np.where(x[:, None] > x[None], 1.0, np.where(x[:, None] == x[None], 0.5, 0.0))
+    df = spark.createDataFrame([*rows, (None, 1, 0.1), (3.0, 1, None)], "d double, e int, r double").repartition(4)
+    for blocks in (2, 8, 256):
+        assert survival.concordance(df, "d", "e", "r", blocks).first()[0] == pytest.approx((won * counts).sum() / counts.sum(), abs=1e-12)
+    assert survival.concordance(df.where("e = 0"), "d", "e", "r").first()[0] is None
+
+
 def brute_history(events, at, h):
     own = [(t, v) for t, v in events if t <= at]
     return sum((v or 0.0) * 0.5 ** ((at - t) / h) for t, v in own), sum(0.5 ** ((at - t) / h) for t, v in own)
