@@ -99,24 +99,24 @@ def concordance(df: DataFrame, duration: str, event: str, risk: str, blocks: int
     counts = F.sum(F.lit(1.0)).alias("n"), F.sum(F.col("e").cast("double")).alias("m")
     coded = rows.withColumns({"t": block("d"), "u": block("r")})
 
-    def kernel(time: str, of: str):
-        def kernel(frame):
-            import pandas as pd
+    def kernel(frame):
+        import pyarrow as pa
 
-            pairs, won = _later_and_lower(*(frame[c].to_numpy(dtype=float) for c in (time, of, "n", "m")))
-            return pd.DataFrame({"pairs": [pairs], "won": [won]})
+        column = lambda c: frame.column(c).to_numpy().astype(float)
+        pairs, won = _later_and_lower(column("time"), column("r"), column("n"), column("m"))
+        # Pairs inside a block of risks are counted with those of different blocks of times.
+        return pa.table({"pairs": [0.0 if column("risks")[0] else pairs], "won": [won]})
 
-        return kernel
-
-    schema = "pairs double, won double"
-    within = coded.where("t % 2 = 0").groupBy("t", "d", "r").agg(*counts).groupBy("t").applyInPandas(kernel("d", "r"), schema)
-    level = coded.where("u % 2 = 0").groupBy("u", "t", "r").agg(*counts).groupBy("u").applyInPandas(kernel("t", "r"), schema).withColumn("pairs", F.lit(0.0))
+    inside = F.array(F.struct(F.lit(0).alias("risks"), F.col("t").alias("block"), F.col("d").alias("time")), F.struct(F.lit(1).alias("risks"), F.col("u").alias("block"), F.col("t").cast("double").alias("time")))
+    near = coded.select(F.explode(F.filter(inside, lambda p: p["block"] % 2 == 0)).alias("p"), "r", "e").select("p.*", "r", "e")
+    within = near.groupBy("risks", "block", "time", "r").agg(*counts).groupBy("risks", "block").applyInArrow(kernel, "pairs double, won double")
     ties = coded.where("e = 1").groupBy("d").agg(F.count(F.lit(1)).cast("double").alias("k")).agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1)), F.lit(0.0)).alias("pairs"))
-    pairs, won = within.unionByName(level).unionByName(ties.select("pairs", (F.col("pairs") / 2).alias("won"))).agg(F.sum("pairs"), F.sum("won")).first()
+    pairs, won = within.unionByName(ties.select("pairs", (F.col("pairs") / 2).alias("won"))).agg(F.sum("pairs"), F.sum("won")).first()
     side = {c: 2 * len(edges[c]) + 1 for c in ("d", "r")}
     n, m = np.zeros((side["d"], side["r"])), np.zeros((side["d"], side["r"]))
-    for t, u, here, events in coded.groupBy("t", "u").agg(*counts).collect():  # (2 * blocks)^2 numbers at most
-        n[t, u], m[t, u] = here, events
+    cells = coded.groupBy("t", "u").agg(*counts).toArrow()  # (2 * blocks)^2 rows at most
+    at = cells.column("t").to_numpy(), cells.column("u").to_numpy()
+    n[at], m[at] = cells.column("n").to_numpy(), cells.column("m").to_numpy()
     later = np.vstack([n[::-1].cumsum(axis=0)[::-1][1:], np.zeros((1, side["r"]))])
     lower = np.hstack([np.zeros((side["d"], 1)), later.cumsum(axis=1)[:, :-1]])
     pairs += float((m * later.sum(axis=1, keepdims=True)).sum())

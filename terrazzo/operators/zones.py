@@ -152,13 +152,14 @@ def segment_cuts(df: DataFrame, segment: str, x: str, y: str, weight: str | None
     binned = histogram_table(found.withColumn("_bin", place), "_x", "_y", "_w", by=["_s", "_bin"])
 
     def cuts(frame):
-        import pandas as pd
+        import pyarrow as pa
 
-        frame = frame.sort_values("low")
-        h = Histogram(*(frame[n].to_numpy(dtype=float) for n in ("w", "wy", "wx", "low", "high", "wxx", "wxy")))
-        return pd.DataFrame({"segment": frame["_s"].iloc[:1].tolist(), "cuts": [greedy_cuts(h, max_zones, min_share, min_rows, criterion)]})
+        frame = frame.sort_by("low")
+        h = Histogram(*(frame.column(n).to_numpy().astype(float) for n in ("w", "wy", "wx", "low", "high", "wxx", "wxy")))
+        found = greedy_cuts(h, max_zones, min_share, min_rows, criterion)
+        return pa.table({"segment": frame.column("_s").slice(0, 1), "cuts": pa.array([found], pa.list_(pa.float64()))})
 
-    return binned.groupBy("_s").applyInPandas(cuts, f"segment {df.schema[segment].dataType.simpleString()}, cuts array<double>")
+    return binned.groupBy("_s").applyInArrow(cuts, f"segment {df.schema[segment].dataType.simpleString()}, cuts array<double>")
 
 
 def best_cut_table(df: DataFrame, x: str, y: str, min_share: float = MIN_SHARE, min_rows: int = MIN_ROWS) -> DataFrame:
