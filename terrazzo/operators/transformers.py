@@ -12,9 +12,11 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.scalar import array_literal, category_index, coreness, days, half_life_name, mahalanobis, zone_index
 from . import cells, zones
+from .joins import MAX_BROADCAST_ROWS
 from .joins import lookup as _lookup
 
 class ZoneProfile:
@@ -98,30 +100,60 @@ class Depth:
 
 
 class DepthCrowd:
-    """Agreement of several experts' scores: after ranking, mean, median, deviation, least, votes below a threshold and the least expert."""
+    """Agreement of several experts' scores: after ranking, mean, median, deviation, least, votes below a threshold and the least expert.
+
+    A rank is the share of the fitted rows with that score or a lower one,
+    exact however many scores there are; a missing score comes last, with 1.
+    """
 
     def __init__(self, columns: Sequence[str], threshold: float = 0.05, rank: bool = True, name: str = "crowd"):
         if len(columns) < 2 or not 0 <= threshold <= 1:
             raise ValueError("two columns at least, and a threshold in [0, 1]")
         self.columns, self.threshold, self.rank, self.name = list(columns), threshold, rank, name
 
-    def fit(self, df: DataFrame, points: int = zones.MAX_BINS) -> DepthCrowd:
-        """Distribution of each column: exact up to ``points`` distinct values, else its quantiles."""
-        self.cdf = {}
-        for c in self.columns if self.rank else ():
-            value = F.col(c).cast("double")
-            edges = zones.bin_edges(df.select(value.alias(c)), c, points)
-            key = value if edges is None else F.get(array_literal([*edges, float("1e308")]), zone_index(value, edges))
-            rows = sorted((r[0], r[1]) for r in df.where(value.isNotNull()).groupBy(key.alias("k")).count().collect())
-            total = np.cumsum([n for _, n in rows])
-            self.cdf[c] = [v for v, _ in rows], [0.0, *(total / total[-1])] if len(rows) else [0.0]
+    def fit(self, df: DataFrame) -> DepthCrowd:
+        """Edges of quantile blocks of each column and the rows before each block; the rows themselves stay a table."""
+        if self.rank:
+            self.fitted = _scores(df, self.columns)
+            self.edges, self.before, self.rows = zones.quantile_blocks(self.fitted)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        ranks = [F.get(array_literal(self.cdf[c][1]), zone_index(F.col(c).cast("double"), self.cdf[c][0])) if self.rank else F.col(c).cast("double") for c in self.columns]
-        scored = df.withColumn("_r", F.array(*ranks))
+        if not self.rank:
+            ranked, ranks = df, [F.col(c).cast("double") for c in self.columns]
+        else:
+            ranked, ranks = self._ranked(df)
+        scored = ranked.withColumn("_r", F.array(*ranks)).select(*df.columns, "_r")
         return crowd_columns(scored, "_r", self.columns, self.threshold, self.name).drop("_r")
 
+    def _ranked(self, df: DataFrame) -> tuple[DataFrame, list[Column]]:
+        """``df`` with a column for each expert's rank, joined by value, and the ranks.
+
+        Distinct values are ordered inside their block, by one task a block.
+        Tables are broadcast while they have ``MAX_BROADCAST_ROWS`` rows
+        together (counted within 2 %), else shuffled.
+        """
+        wanted = _scores(df, self.columns)
+        sizes = wanted.agg(*(F.approx_count_distinct(c, 0.02).alias(c) for c in wanted.columns)).first()
+        room, ranks = MAX_BROADCAST_ROWS, {}
+        for c in sorted(wanted.columns, key=lambda c: sizes[c]):
+            i = wanted.columns.index(c)
+            table = zones.shares_up_to(self.fitted, wanted, c, self.edges[i], self.before[i], self.rows)
+            room -= sizes[c]
+            score = _score(df, self.columns[i])
+            df = df.join(F.broadcast(table) if room >= 0 else table.hint("merge"), score == F.col(c), "left")
+            ranks[i] = F.when(score.isNull(), 1.0).otherwise(F.col(f"{c}_share"))
+        return df, [ranks[i] for i in range(len(ranks))]
+
+
+def _score(df: DataFrame, c: str) -> Column:
+    """A number as it is, so that large keys stay distinct; anything else as a double."""
+    return F.col(c) if isinstance(df.select(c).schema[0].dataType, NumericType) else F.col(c).cast("double")
+
+
+def _scores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(*(_score(df, c).alias(f"_x{i}") for i, c in enumerate(columns)))
+
 
 def crowd_columns(df: DataFrame, ranks: str, names: Sequence[str], threshold: float, name: str = "crowd") -> DataFrame:
     """The seven crowd columns from an array of ranks; the first column wins a tie for the least."""

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import zone_index
+from ..functions.scalar import array_literal, zone_index
 from .joins import lookup
 
 MAX_BINS = 1024
@@ -162,6 +162,44 @@ def segment_cuts(df: DataFrame, segment: str, x: str, y: str, weight: str | None
     return binned.groupBy("_s").applyInArrow(cuts, f"segment {df.schema[segment].dataType.simpleString()}, cuts array<double>")
 
 
+def quantile_blocks(df: DataFrame, blocks: int = 256) -> tuple[list[list[float]], list[list[int]], int]:
+    """For all columns at once: edges of quantile blocks, the rows before each block, and the number of rows."""
+    shares = [i / blocks for i in range(1, blocks)]
+    found = df.agg(*(F.percentile_approx(c, shares, 100 * blocks).alias(c) for c in df.columns)).first()
+    edges = [sorted({float(e) for e in found[c] or []}) for c in df.columns]
+    counts = [np.zeros(len(own) + 2, dtype=np.int64) for own in edges]  # the last one is of missing values
+
+    def kernel(batches):
+        import pyarrow as pa
+
+        n = [np.zeros(len(own) + 2, dtype=np.int64) for own in edges]
+        for batch in batches:
+            for own, total, x in zip(edges, n, batch.columns):
+                total[:-1] += np.bincount(np.searchsorted(own, x.drop_null().to_numpy(), side="right"), minlength=len(own) + 1)
+                total[-1] += x.null_count
+        for i, total in enumerate(n):
+            yield pa.RecordBatch.from_pydict({"column": np.full(len(total), i), "block": np.arange(len(total)), "n": total})
+
+    counted = df.select(*(F.col(c).cast("double") for c in df.columns)).mapInArrow(kernel, "column bigint, block bigint, n bigint")
+    for r in counted.groupBy("column", "block").agg(F.sum("n").alias("n")).collect():  # blocks + 1 numbers a column at most
+        counts[r["column"]][r["block"]] = r["n"]
+    return edges, [[0, *np.cumsum(n[:-2]).tolist()] for n in counts], int(counts[0].sum())
+
+
+def shares_up_to(df: DataFrame, wanted: DataFrame, x: str, edges: Sequence[float], before: Sequence[int], rows: int) -> DataFrame:
+    """x, x_share: for each distinct present x of ``wanted`` the share of the rows of ``df`` with an x up to it, by ``quantile_blocks`` of ``df``.
+
+    Exact: values are counted, and a running sum over a block's distinct
+    values (never its rows) goes on from the rows before that block.
+    """
+    both = df.select(x, F.lit(1).alias("_n"), F.lit(False).alias("_asked")).unionByName(wanted.select(x, F.lit(0).alias("_n"), F.lit(True).alias("_asked")))
+    counted = both.where(F.col(x).isNotNull()).groupBy(x).agg(F.sum("_n").alias("_n"), F.max("_asked").alias("_asked"))
+    order = Window.partitionBy("_block").orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumn("_block", zone_index(F.col(x).cast("double"), edges)).withColumn("_n", F.sum("_n").over(order)).where("_asked")
+    up_to = F.get(array_literal(before, "array<bigint>"), F.col("_block")) + F.col("_n")
+    return placed.select(x, (up_to / F.lit(float(max(rows, 1)))).alias(f"{x}_share"))
+
+
 def best_cut_table(df: DataFrame, x: str, y: str, min_share: float = MIN_SHARE, min_rows: int = MIN_ROWS) -> DataFrame:
     """The first cut as a plan of its own: cut and its share of the sum of squares."""
     table = histogram_table(df, x, y)

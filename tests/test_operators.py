@@ -163,6 +163,33 @@ def test_crowd_ties_go_to_the_first_expert(spark):
     assert (r["crowd__most_atypical_expert"], r["crowd__vote_count"], r["crowd__median"]) == ("y", 2, 0.01)
 
 
+def test_crowd_ranks_are_exact_and_the_driver_holds_few_numbers(spark, monkeypatch):
+    """Ranks as numpy counts them, with more values than blocks, one score in half the rows, missing scores (last), large keys and unseen rows."""
+    rng = np.random.default_rng(11)
+    n, big = 6000, 2**60
+    a = np.where(rng.random(n) < 0.5, 0.25, rng.normal(size=n))
+    a[:3], a[3:200] = (np.inf, -np.inf, -0.0), np.nan
+    k = rng.permutation(n)
+    b = rng.integers(0, 3, n)
+    rows = [(int(i), None if np.isnan(u) else float(u), big + int(j), int(v)) for i, (u, j, v) in enumerate(zip(a, k, b))]
+    df = spark.createDataFrame(rows, "id int, a double, k bigint, b int").repartition(5)
+    up_to = lambda known, x: np.searchsorted(np.sort(known), x, side="right") / len(known)
+    crowd = transformers.DepthCrowd(["a", "k", "b"], 0.2).fit(df)
+    assert all(len(e) < 256 for e in crowd.edges) and all(len(e) <= 256 for e in crowd.before)
+    unseen = [(0, 0.1, big - 5, -1), (1, 1e9, big + n + 5, 9), (2, None, None, None)]
+    for most in (transformers.MAX_BROADCAST_ROWS, 3, 0):
+        monkeypatch.setattr(transformers, "MAX_BROADCAST_ROWS", most)
+        out = crowd.transform(df).orderBy("id").collect()
+        want = np.stack([up_to(a, a), up_to(k, k), up_to(b, b)])
+        assert [r["id"] for r in out] == list(range(n)) and [r["k"] for r in out] == [r[2] for r in rows]
+        for name, value in (("mean", want.mean(axis=0)), ("median", np.median(want, axis=0)), ("std", want.std(axis=0)), ("min", want.min(axis=0)), ("vote_count", (want <= 0.2).sum(axis=0))):
+            assert np.allclose([r[f"crowd__{name}"] for r in out], value, rtol=0, atol=1e-12), (most, name)
+        new = crowd.transform(spark.createDataFrame(unseen, df.schema)).orderBy("id").collect()
+        want = np.stack([up_to(a, np.array([0.1, 1e9, np.nan])), [0.0, 1.0, 1.0], [0.0, 1.0, 1.0]])
+        assert np.allclose([[r["crowd__mean"], r["crowd__min"]] for r in new], np.stack([want.mean(axis=0), want.min(axis=0)], axis=1), rtol=0, atol=1e-12)
+        assert [r["crowd__most_atypical_expert"] for r in new] == ["k", "a", "a"]
+
+
 def test_order_statistic(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 2, 3, 4, 5, 6, 7, 8, 9)], "s double")
     assert diagnostics.order_statistic(df, "s", 0.1).first()["margin"] == 9.0
